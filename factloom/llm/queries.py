@@ -52,6 +52,23 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op6_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer(PIECES))
+
+
+def op7_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import containment, distinct_shingles, edited, printed, resemblance
+
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return edited(table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(a).alias("fingerprint"), printed(b).alias("edited_fingerprint"),
+        resemblance(a, b).alias("near_edited"), resemblance(a, c).alias("near_next"),
+        containment(a, b).alias("contained_in_edited"), distinct_shingles(a).alias("distinct_shingles"),
+    )
+
+
 def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .separators import document_token_counts
 
@@ -59,8 +76,26 @@ def op8_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_tokens")
 
 
+def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, tables=1, bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.get("prints", F.lit(0))), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score_texts
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return score_texts(docs, fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_sentencepiece_round_trip, op3_token_files, op4_gif_media, op5_warc_index, op8_separator_scan)
+    f.__name__: f
+    for f in (
+        op1_mix_sources, op2_sentencepiece_round_trip, op3_token_files, op4_gif_media, op5_warc_index,
+        op6_lattice_scores, op7_bottom_k, op8_separator_scan, op9_simhash_groups, op10_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {
