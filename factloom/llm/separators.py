@@ -125,4 +125,5 @@ def document_token_counts(docs: DataFrame, tokenizer: str, end: int, width: int
     folder, order = write_flat(docs, tokenizer, end, width)
     files = order.groupBy("file").agg(F.max("file_ids").alias("file_ids"))
     counts = count_tokens(spark, folder, files, end, width)
-    return order.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
+    # the written order compresses so well that its size misleads the planner into a broadcast
+    return order.select("file", "ordinal", "doc_id").hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
