@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import texts
 
 HELD_OUT, MODULUS = 0, 5
-#: Labelled texts used; features of the classifier; voters; least texts of label 1 with a feature.
-SAMPLE, FEATURES, VOTERS, SUPPORT = 20_000, 512, 96, 3
+#: Labelled texts used; features of the classifier; voters; least texts of label 1 with a feature, and its least log-likelihood ratio.
+SAMPLE, FEATURES, VOTERS, SUPPORT, LEAST_WORTH = 20_000, 512, 96, 3, 6.0
 STEMS = (4, 5, 6)
 ROUNDS = 12
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,7 +118,10 @@ def tree_of(votes: np.ndarray, label: np.ndarray) -> list[int]:
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float], list[int]]:
     """Posterior labels of the votes (0 or 1) under a tree of voters for each label, by EM; accuracies; the tree.
 
-    The known labels start it and add a tenth of their counts as a prior.
+    The known label is a voter of its own, whose accuracy is estimated too but
+    held between 0.9 and 0.999: without it, the largest group of like voters
+    would become the label. The known labels also start the posterior and add a
+    tenth of their counts as a prior.
     """
     votes = votes.astype(float)
     m = votes.shape[1]
@@ -140,6 +143,8 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = ROUNDS) -> t
                     p = ((w[:, None] * when * votes).sum(0) + 0.05) / (mass + 1.0)
                     p = np.clip(p, 1e-6, 1 - 1e-6)
                     total += (when * np.where(votes > 0, np.log(p), np.log1p(-p))).sum(1)
+            given = float(np.clip(((w * (known > 0)).sum() + 0.5) / (w.sum() + 1.0), *((0.9, 0.999) if y else (0.001, 0.1))))
+            total += np.where(known > 0, np.log(given), np.log1p(-given))
             logs.append(total)
         posterior = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
     accuracy = ((votes * posterior[:, None]).sum(0) + 0.5) / (votes.sum(0) + 1.0) if m else np.zeros(0)
@@ -168,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % MODULUS
     usable = labels.where(F.col("toxic").isNotNull() & (split != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
     chosen = usable.orderBy(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("_toxic").alias("y"), "text")
+    # copies of a text count once, or their words would pass for signs of the label
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("_hash")).agg(F.max("_toxic").alias("y"), F.first("text").alias("text")).select("y", "text")
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos: Counter[str] = Counter()
@@ -195,10 +201,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not n1 or not n0:
         return Model([], np.zeros(0), 0.0, 0.0, -30.0).prepared()
     counts = rows.mapInArrow(counted, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # how much more of the label-1 texts have it, in standard deviations of a difference of logs
-    gain = F.log((F.col("pos") + 0.5) / (n1 + 1.0)) - F.log((F.col("neg") + 0.5) / (n0 + 1.0))
-    worth = gain / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = counts.where((F.col("pos") >= SUPPORT) & (gain > 1.0)).withColumn("worth", worth).orderBy(F.col("worth").desc(), "name").limit(FEATURES)
+    # log-likelihood ratio of the texts with it against the sample's share of label 1
+    share, both = n1 / (n1 + n0), F.col("pos") + F.col("neg")
+    worth = F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
+    telling = (F.col("pos") >= SUPPORT) & (F.col("pos") > F.col("neg")) & (F.col("pos") > both * share)
+    best = counts.where(telling).withColumn("worth", worth).where(F.col("worth") >= LEAST_WORTH)
+    best = best.orderBy(F.col("worth").desc(), "name").limit(FEATURES)
     names = [r["name"] for r in best.select("name").collect()]  # bounded by FEATURES
     model = Model(names, np.zeros(len(names)), 0.0, 0.0, 0.0).prepared()
     width = -(-len(names) // 8)
