@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import q_aggregates, q_graph, q_impact, q_incremental, q_joins, q_lookup, q_ranking, q_search, q_sources, q_text, registry  # noqa: F401
+from .facts import Facts
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return q_search.bm25_files(Facts(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return registry.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return registry.oracle_sql()
