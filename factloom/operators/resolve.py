@@ -1,13 +1,139 @@
-"""Reference resolution: export surfaces, import chains, namespaces and members."""
+"""Reference resolution: export surfaces, import chains, namespaces, members and shapes.
+
+Passes are functions of the reference table; a cascade takes the first pass that
+resolves a reference, in a fixed order, in place of updates in place.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import paths
+
 EXPORTED = ["class", "function"]
 
 
 def export_entries(defs: DataFrame, kinds: list[str] = EXPORTED) -> DataFrame:
     """unit_id, exported_name, def_uid: one definition for each name of a unit, the one with the smallest def_uid."""
     return defs.where(F.col("kind").isin(kinds)).groupBy("unit_id", F.col("name").alias("exported_name")).agg(F.min("def_uid").alias("def_uid"))
+
+
+def cascade(refs: DataFrame, passes: list[tuple[str, DataFrame]]) -> DataFrame:
+    """refs with target_def_uid from the first source that has one, and resolved_by; passes give (ref_id, def_uid)."""
+    out = refs.withColumn("resolved_by", F.when(F.col("target_def_uid").isNotNull(), "known"))
+    for name, found in passes:
+        one = found.groupBy("ref_id").agg(F.min("def_uid").alias("_new"))
+        out = out.join(one, "ref_id", "left")
+        out = out.withColumn("resolved_by", F.coalesce("resolved_by", F.when(F.col("_new").isNotNull(), name)))
+        out = out.withColumn("target_def_uid", F.coalesce("target_def_uid", "_new")).drop("_new")
+    return out
+
+
+def by_namespace(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """ref_id, def_uid for refs (ref_id, name, namespace): a definition of the name in the same namespace or a parent of it."""
+    asked = refs.select("ref_id", "name", F.explode(paths.prefixes(F.col("namespace"))).alias("namespace"))
+    return asked.join(defs.select("name", "namespace", "def_uid"), ["name", "namespace"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+
+
+def by_star_import(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, def_uid for refs (ref_id, file_id, name): a top-level, public definition of a module that the file imports whole."""
+    wild = imports.where(F.col("import_kind") == "wildcard").select("file_id", F.col("source_literal").alias("declared_module")).distinct()
+    public = defs.where((F.col("lexical_path") == F.col("name")) & ~F.col("name").startswith("_"))
+    offered = public.join(files.select(F.col("id").alias("file_id"), "declared_module"), "file_id").select("declared_module", "name", "def_uid")
+    return refs.select("ref_id", "file_id", "name").join(wild, "file_id").join(offered, ["declared_module", "name"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+
+
+def by_import_chain(refs: DataFrame, imports: DataFrame, exports: DataFrame, modules: DataFrame) -> DataFrame:
+    """ref_id, def_uid: local name, its import in the file, the module's unit, the unit's export."""
+    bound = imports.select("file_id", F.coalesce("alias", "imported_name").alias("name"), "imported_name", "source_literal").distinct()
+    units = modules.select(F.col("declared_module").alias("source_literal"), "unit_id")
+    chain = refs.select("ref_id", "file_id", "name").join(bound, ["file_id", "name"]).join(units, "source_literal")
+    return chain.join(exports, (chain["unit_id"] == exports["unit_id"]) & (chain["imported_name"] == exports["exported_name"])).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+
+
+def scope_ancestors(scopes: DataFrame, parent: str = "parent_scope_id", rounds: int = 12) -> DataFrame:
+    """scope_id, ancestor, depth: each scope with itself and its parents, up to rounds levels."""
+    level = scopes.select("scope_id", F.col("scope_id").alias("ancestor"), F.lit(0).alias("depth"))
+    up = scopes.select(F.col("scope_id").alias("ancestor"), F.col(parent).alias("_up")).where("_up IS NOT NULL")
+    out = level
+    for _ in range(rounds):
+        level = level.join(up, "ancestor").select("scope_id", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+        out = out.unionByName(level)
+    return out
+
+
+def innermost_bind(uses: DataFrame, binds: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """use_id, bind_id: the binding of the name in the nearest scope outwards."""
+    met = uses.join(ancestors, "scope_id").join(binds.select(F.col("scope_id").alias("ancestor"), "name", "bind_id"), ["ancestor", "name"])
+    return met.groupBy("use_id").agg(F.min_by("bind_id", F.struct("depth", "bind_id")).alias("bind_id"))
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """import_uid, resolved_path: the literal's module or its longest known parent; exact before parent, then by path."""
+    asked = imports.select("import_uid", F.posexplode(paths.prefixes(F.col("source_literal"))).alias("_p", "declared_module"))
+    met = asked.join(files.select("declared_module", "path"), "declared_module")
+    return met.groupBy("import_uid").agg(F.min_by("path", F.struct("_p", "path")).alias("resolved_path"))
+
+
+def import_candidates(literal: Column, importer: Column) -> Column:
+    """Paths that a dotted or relative import may mean, best first."""
+    folder = F.regexp_replace(importer, "/?[^/]*$", "")
+    dots = F.length(F.regexp_extract(literal, r"^(\.*)", 1))
+    rest = F.translate(F.regexp_replace(literal, r"^\.+", ""), ".", "/")
+    parts = F.split(folder, "/")
+    base = F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - F.greatest(dots - 1, F.lit(0)), F.lit(0))), "/")
+    stem = F.when(dots > 0, F.concat(base, F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(F.lit("")))).otherwise(rest)
+    plain = [F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py"))]
+    rooted = [F.concat(F.lit("src/"), stem, F.lit(x)) for x in (".py", "/__init__.py")]
+    return F.array(*plain, *rooted)
+
+
+def trace_members(starts: DataFrame, members: DataFrame, depth: int = 6) -> DataFrame:
+    """Walk a chain of members from a type: (id, type, chain array) to (id, type, steps, confidence)."""
+    state = starts.select("id", F.col("type"), "chain", F.lit(0).alias("steps"), F.lit(True).alias("on"))
+    for _ in range(depth):
+        name = F.get("chain", F.col("steps"))
+        asked = state.withColumn("_m", F.when(F.col("on"), name))
+        step = members.select(F.col("base_type").alias("type"), F.col("member_name").alias("_m"), F.col("member_type").alias("_t"))
+        met = asked.join(step, ["type", "_m"], "left")
+        go = F.col("_t").isNotNull()
+        state = met.select("id", F.coalesce("_t", "type").alias("type"), "chain", (F.col("steps") + go.cast("int")).alias("steps"), (F.col("on") & go).alias("on"))
+    return state.select("id", "type", "steps", F.round(F.col("steps") / F.size("chain"), 6).alias("confidence"))
+
+
+def match_shapes(shapes: DataFrame, members: DataFrame, least: float = 0.7) -> DataFrame:
+    """shape_id, base_type, confidence, ambiguous: types that have enough of a shape's observed members.
+
+    Confidence is the share of the members plus a tenth of the methods' share, at most 1.
+    """
+    seen = shapes.select("shape_id", F.size("observed").alias("_n"), F.explode("observed").alias("member_name"))
+    met = seen.join(members.select("base_type", "member_name", "member_kind").distinct(), "member_name")
+    share = F.countDistinct("member_name") / F.max("_n")
+    methods = F.countDistinct(F.when(F.col("member_kind") == "method", F.col("member_name"))) / F.max("_n")
+    scored = met.groupBy("shape_id", "base_type").agg(F.round(F.least(F.lit(1.0), share + 0.1 * methods), 6).alias("confidence")).where(F.col("confidence") >= least)
+    return scored.withColumn("ambiguous", F.count("*").over(Window.partitionBy("shape_id")) > 1)
+
+
+def self_types(receivers: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, class_uid: the tightest class around each receiver (id, file_id, line)."""
+    from .joins import contained
+
+    met = contained(receivers, "line", classes, ["file_id"])
+    return met.groupBy("id").agg(F.min_by("def_uid", F.struct(F.col("end_line") - F.col("start_line"), "def_uid")).alias("class_uid"))
+
+
+def xref_targets(refs: DataFrame, defs: DataFrame) -> DataFrame:
+    """id, def_uid: the target by uid, else simple name, else last part of the qualified name; the smallest uid of the best way."""
+    by_uid = refs.join(defs.select(F.col("def_uid").alias("target"), "def_uid"), "target").select("id", F.lit(0).alias("_w"), "def_uid")
+    by_name = refs.join(defs.select(F.col("name").alias("target"), "def_uid"), "target").select("id", F.lit(1).alias("_w"), "def_uid")
+    last = F.element_at(F.split("qualified_name", r"\."), -1)
+    by_end = refs.join(defs.select(last.alias("target"), "def_uid"), "target").select("id", F.lit(2).alias("_w"), "def_uid")
+    return by_uid.unionByName(by_name).unionByName(by_end).groupBy("id").agg(F.min(F.struct("_w", "def_uid")).alias("_b")).select("id", "_b.def_uid")
+
+
+def config_references(files: DataFrame, known: DataFrame) -> DataFrame:
+    """path, target: quoted strings and bare tokens of config texts that name known files."""
+    tokens = F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit("""["']([\\w./-]+)["']"""), F.lit(1)), F.regexp_extract_all("text", F.lit(r"(?:^|\s)([\w.-]+/[\w./-]+)"), F.lit(1))))
+    named = files.select("path", F.explode(tokens).alias("target")).where("path <> target")
+    return named.join(known.select(F.col("path").alias("target")), "target", "left_semi").select("path", "target")
