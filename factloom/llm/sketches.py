@@ -100,9 +100,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     away = F.struct(F.col("_before").alias("cell"), F.lit(1).alias("guest"))
     sent = placed.withColumn("sketch", sketch(F.col("text"))).join(F.broadcast(heads), "_cell")
     sent = sent.select("doc_id", "text", "_h", "sketch", F.explode(F.when(is_first, F.array(at_home, away)).otherwise(F.array(at_home))).alias("_to"))
-    in_cell = Window.partitionBy("_to.cell").orderBy("_to.guest", F.col("doc_id").desc_nulls_last(), "_h")
-    sent = sent.withColumn("next_text", F.lead("text").over(in_cell)).withColumn("next_sketch", F.lead("sketch").over(in_cell))
-    return sent.where(F.col("_to.guest") == 0).select("doc_id", "text", "sketch", "next_text", "next_sketch")
+    # plain columns and one projection, or each window would deal the texts out again
+    sent = sent.select("doc_id", "text", "_h", "sketch", F.col("_to.cell").alias("_in"), F.col("_to.guest").alias("_guest"))
+    in_cell = Window.partitionBy("_in").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "_h")
+    sent = sent.select("doc_id", "text", "sketch", "_guest", F.lead("text").over(in_cell).alias("next_text"), F.lead("sketch").over(in_cell).alias("next_sketch"))
+    return sent.where(F.col("_guest") == 0).drop("_guest")
 
 
 def edited(docs: DataFrame) -> DataFrame:
