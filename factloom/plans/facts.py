@@ -86,7 +86,7 @@ FACTS: dict[str, str] = {
         FROM pages""",
     "snapshots": """
         SELECT CAST(event_id % 12 AS BIGINT) AS epoch_id, 'f' || CAST(user_id % 40 AS STRING) AS file_path, event_type || '.' || CAST(user_id AS STRING) AS lexical_path,
-               CASE WHEN event_type = 'click' THEN 'function' ELSE 'class' END AS kind, md5(CAST(CAST(value AS BIGINT) % 9 AS STRING)) AS signature_hash,
+               CASE WHEN event_type = 'click' THEN 'function' ELSE 'class' END AS kind, md5(CAST(CAST(floor(value) AS BIGINT) % 9 AS STRING)) AS signature_hash,
                CAST(event_id % 200 AS BIGINT) AS start_line, CAST(event_id % 200 + 5 AS BIGINT) AS end_line, event_id AS record_id
         FROM events""",
 }

@@ -1 +1,164 @@
-"""Queries, to come."""
+"""Queries of section 2.8: graphs and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, sparse
+from .registry import query
+
+EDGES = "SELECT DISTINCT f.path AS src, i.resolved_path AS dst FROM imports i JOIN files f ON f.id = i.file_id WHERE i.resolved_path IS NOT NULL AND f.path <> i.resolved_path"
+ROUNDS = 4
+
+
+def rank_sql(edges: str, restart: str, rounds: int = ROUNDS) -> str:
+    ctes = [f"e AS ({edges})", "v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)", "o AS (SELECT src AS node, count(*) AS out FROM e GROUP BY 1)",
+            f"b AS (SELECT v.node, out, {restart} AS restart FROM v LEFT JOIN o USING (node))", "r0 AS (SELECT *, restart AS score FROM b)"]
+    for i in range(rounds):
+        ctes.append(f"i{i} AS (SELECT dst AS node, sum(score / out) AS s FROM e JOIN r{i} ON r{i}.node = e.src GROUP BY 1)")
+        ctes.append(f"""r{i + 1} AS (SELECT b.node, b.out, b.restart, 0.15 * b.restart + 0.85 * (coalesce(s, 0) + (SELECT coalesce(sum(score), 0) FROM r{i} WHERE out IS NULL) * b.restart) AS score
+            FROM b LEFT JOIN i{i} USING (node))""")
+    return f"WITH {', '.join(ctes)} SELECT node, round(score, 9) AS score FROM r{rounds}"
+
+
+def file_edges(f):
+    return graph.cut(graph.file_edges(f.files, f.imports))
+
+
+@query("o208_file_page_rank", rank_sql(EDGES, "1.0 / (SELECT count(*) FROM v)"))
+def _(f):
+    return graph.page_rank(file_edges(f), ROUNDS).select("node", F.round("score", 9).alias("score"))
+
+
+DEF_EDGES = """SELECT DISTINCT d.def_uid AS src, r.target_def_uid AS dst FROM refs r JOIN defs d ON d.file_id = r.file_id AND r.start_line BETWEEN d.start_line AND d.end_line
+    WHERE r.target_def_uid IS NOT NULL AND d.def_uid <> r.target_def_uid"""
+
+
+@query("o207_def_page_rank", rank_sql(DEF_EDGES, "1.0 / (SELECT count(*) FROM v)"))
+def _(f):
+    from ..operators import joins
+
+    return graph.page_rank(graph.cut(joins.enclosing_refs(f.refs, f.defs)), ROUNDS).select("node", F.round("score", 9).alias("score"))
+
+
+@query("o214_personalised_page_rank", rank_sql(EDGES, "CASE WHEN v.node IN (SELECT path FROM files WHERE id IN (1, 2, 3)) THEN 1.0 / (SELECT count(*) FROM v WHERE node IN (SELECT path FROM files WHERE id IN (1, 2, 3))) ELSE 0.0 END"))
+def _(f):
+    seeds = f.files.where("id IN (1, 2, 3)").select(F.col("path").alias("node"))
+    return graph.page_rank(file_edges(f), ROUNDS, seeds=seeds).select("node", F.round("score", 9).alias("score"))
+
+
+SCC = f"""
+    WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_custkey % 300 AS BIGINT) AS src, CAST((o_custkey * 7 + o_orderkey % 3) % 300 AS BIGINT) AS dst FROM orders WHERE o_orderkey % 25 = 0),
+        r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst),
+        m AS (SELECT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)
+    SELECT node, least(node, min(other)) AS component FROM m GROUP BY node"""
+
+
+def small_edges(f):
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return f.orders.where("o_orderkey % 25 = 0").select((k % 300).alias("src"), ((k * 7 + o % 3) % 300).alias("dst")).distinct()
+
+
+@query("o209_strongly_connected", SCC)
+def _(f):
+    return graph.strongly_connected(small_edges(f))
+
+
+@query("o179_touched_cycles", f"SELECT DISTINCT component FROM ({SCC}) WHERE node IN (1, 50, 100, 200)")
+def _(f):
+    changed = f.spark.createDataFrame([(1,), (50,), (100,), (200,)], "node long")
+    return graph.touched_cycles(graph.strongly_connected(small_edges(f)), changed)
+
+
+@query("o210_communities")
+def _(f):
+    return graph.communities(file_edges(f))
+
+
+@query("o213_centrality_gate", f"""
+    WITH r AS ({rank_sql(EDGES, '1.0 / (SELECT count(*) FROM v)')}), k AS (SELECT node, score, row_number() OVER (ORDER BY score DESC, node) AS p, count(*) OVER () AS n FROM r)
+    SELECT node FROM k WHERE p <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) AND node IN (SELECT path FROM files WHERE id < 200)""")
+def _(f):
+    ranks = graph.page_rank(file_edges(f), ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return graph.most_central(ranks).join(f.files.where("id < 200").select(F.col("path").alias("node")), "node", "left_semi").select("node")
+
+
+@query("o211_graph_summary", f"SELECT (SELECT count(*) FROM ({EDGES})) AS edges, (SELECT count(*) FROM (SELECT src FROM ({EDGES}) UNION SELECT dst FROM ({EDGES}))) AS nodes")
+def _(f):
+    e = file_edges(f)
+    return e.agg(F.count("*").alias("edges")).crossJoin(graph.nodes_of(e).agg(F.count("*").alias("nodes")))  # one row each
+
+
+@query("o212_repo_briefing", f"""
+    SELECT 'hub' AS section, def_uid AS item, CAST(n AS DOUBLE) AS value FROM (SELECT target_def_uid AS def_uid, count(DISTINCT file_id) AS n FROM refs WHERE target_def_uid IS NOT NULL GROUP BY 1 ORDER BY n DESC, def_uid LIMIT 5)
+    UNION ALL SELECT 'language', language_family, CAST(count(*) AS DOUBLE) FROM files GROUP BY 2 UNION ALL SELECT 'lint', 'errors', CAST(sum(error_count) AS DOUBLE) FROM lint""")
+def _(f):
+    from ..operators import aggregates
+
+    hubs = aggregates.caller_counts(f.defs, f.refs).orderBy(F.col("hub_score").desc(), "def_uid").limit(5).select(F.lit("hub").alias("section"), F.col("def_uid").alias("item"), F.col("hub_score").cast("double").alias("value"))
+    langs = f.files.groupBy("language_family").count().select(F.lit("language").alias("section"), F.col("language_family").alias("item"), F.col("count").cast("double").alias("value"))
+    lint = f.lint.agg(F.sum("error_count").cast("double").alias("value")).select(F.lit("lint").alias("section"), F.lit("errors").alias("item"), "value")
+    return hubs.unionByName(langs).unionByName(lint)
+
+
+TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+SPARSE = f"""
+    q0 AS (SELECT DISTINCT item_id, unnest({TOK}) AS term FROM benchmark), t AS (SELECT doc_id, unnest({TOK}) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q0) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    w AS (SELECT doc_id, term, (1 + ln(tf)) * ln(1 + (SELECT count(*) FROM documents) / df) AS weight FROM tf JOIN df USING (term))"""
+
+
+def sparse_vectors(f):
+    from ..operators.search import tokens
+
+    asked = f.benchmark.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return asked.withColumn("weight", F.lit(1.0)), sparse.tf_idf(f.documents, "doc_id", vocabulary=asked.select("term").distinct())
+
+
+@query("o216_sparse_retrieval", f"""
+    WITH {SPARSE}, s AS (SELECT item_id, doc_id, round(sum(weight), 6) AS score FROM q0 JOIN w USING (term) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 1.0)
+    SELECT * FROM k WHERE rank <= 50""")
+def _(f):
+    q, v = sparse_vectors(f)
+    return sparse.retrieve(q, v, "item_id", "doc_id", 1.0, 50)
+
+
+@query("o219_chunk_links", f"""
+    WITH {SPARSE}, s AS (SELECT item_id, doc_id, round(sum(weight), 6) AS score FROM q0 JOIN w USING (term) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score >= 12.0)
+    SELECT * FROM k WHERE rank <= 10""")
+def _(f):
+    q, v = sparse_vectors(f)
+    return sparse.retrieve(q, v, "item_id", "doc_id", 12.0, 10)
+
+
+@query("o217_sparse_encode", f"WITH {SPARSE} SELECT doc_id, count(*) AS terms, round(sum(weight), 4) AS mass FROM w GROUP BY 1")
+def _(f):
+    return sparse_vectors(f)[1].groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("mass"))
+
+
+@query("o194_sparse_dot", f"""
+    WITH {SPARSE} SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.weight * b.weight), 1) AS score FROM w a JOIN w b USING (term) WHERE a.doc_id < 10 AND b.doc_id < 200 AND a.doc_id <> b.doc_id GROUP BY 1, 2""")
+def _(f):
+    v = sparse_vectors(f)[1]
+    a, b = v.where("doc_id < 10").withColumnRenamed("doc_id", "a"), v.where("doc_id < 200").withColumnRenamed("doc_id", "b")
+    return sparse.dot_products(a, b, "a", "b").where("a <> b").withColumn("score", F.round("score", 1))
+
+
+@query("o224_centroid", f"""
+    WITH {SPARSE}, m AS (SELECT term, sum(weight) / 20 AS x FROM w WHERE doc_id < 20 GROUP BY 1), l AS (SELECT sqrt(sum(x * x)) AS l FROM m) SELECT term, round(x / l, 6) AS weight FROM m, l""")
+def _(f):
+    return sparse.centroid(sparse_vectors(f)[1], f.documents.where("doc_id < 20"), "doc_id").select("term", F.round("weight", 6).alias("weight"))
+
+
+@query("o224_dense_top_k", """
+    WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+         s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q, v), 6) AS cosine FROM q, v WHERE query_id <> vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM s)
+    SELECT * FROM k WHERE rank <= 10""")
+def _(f):
+    return sparse.dense_top_k(f.embeddings, f.embeddings.where("vec_id % 100 = 0"), "vec_id", "query_id", 10)
+
+
+@query("o224_vector_sum", """
+    WITH e AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS place FROM embeddings) SELECT label, CAST(place AS INTEGER) AS place, round(sum(CAST(v AS DOUBLE)), 5) AS total FROM e GROUP BY ALL""")
+def _(f):
+    return sparse.vector_sum(f.embeddings, "label")
