@@ -162,6 +162,14 @@ def overlap(start: Column, end: Column, hunks: Column) -> Column:
     return F.when(n > 0, n)
 
 
+def _reference(i: Column, level: Column):
+    return lambda t: F.struct((i + 1).cast("int").alias("line"), t.alias("target"), level.alias("confidence"))
+
+
+def _call(kind: Column):
+    return lambda m, u: F.struct(kind.alias("kind"), F.upper(m).alias("method"), u.alias("url"))
+
+
 def cross_references(text: Column) -> Column:
     """array of structs (line, target, confidence): each target of a line once, with its best confidence."""
     none = F.array().cast("array<struct<line:int,target:string,confidence:string>>")
@@ -173,7 +181,8 @@ def cross_references(text: Column) -> Column:
             if confidence == "low":
                 targets = F.when(F.trim(line).rlike("^(def|class|import|from) "), F.array().cast("array<string>")).otherwise(targets)
             known = F.transform(found, lambda x: x["target"])
-            new = F.transform(F.array_except(targets, known), lambda t, c=confidence: F.struct((i + 1).cast("int").alias("line"), t.alias("target"), F.lit(c).alias("confidence")))
+            level = F.lit(confidence)  # bound below by its value: a lambda's further parameters would be taken for its own
+            new = F.transform(F.array_except(targets, known), _reference(i, level))
             found = F.concat(found, new)
         return found
 
@@ -185,7 +194,7 @@ def endpoints(source: Column) -> Column:
     parts = []
     for pattern, kind in ENDPOINTS:
         methods, urls = (F.regexp_extract_all(source, F.lit(pattern), F.lit(k)) for k in (1, 2))
-        parts.append(F.zip_with(methods, urls, lambda m, u, k=kind: F.struct(F.lit(k).alias("kind"), F.upper(m).alias("method"), u.alias("url"))))
+        parts.append(F.zip_with(methods, urls, _call(F.lit(kind))))
     return F.concat(*parts)
 
 

@@ -23,7 +23,7 @@ PATH = (
 MODULE = "'pkg' || CAST({k} % 20 AS STRING) || '.m' || CAST({k} AS STRING)"
 
 FACTS: dict[str, str] = {
-    "n": "SELECT CAST(count(*) AS BIGINT) AS nf FROM customer",
+    "fact_count": "SELECT CAST(count(*) AS BIGINT) AS nf FROM customer",
     "files": f"""
         SELECT c_custkey AS id, CAST(1 + c_custkey % 3 AS BIGINT) AS worktree_id, {PATH.format(k='c_custkey')} AS path,
                CASE c_custkey % 5 WHEN 1 THEN 'go' WHEN 2 THEN 'java' WHEN 3 THEN 'markdown' ELSE 'python' END AS language_family,
@@ -40,7 +40,7 @@ FACTS: dict[str, str] = {
                CAST(1 + (p_partkey * 37) % 300 AS BIGINT) AS start_line, CAST(1 + (p_partkey * 37) % 300 + p_size AS BIGINT) AS end_line,
                md5(p_type) AS signature_hash, '(self, ' || lower(p_brand) || ') -> ' || p_type AS signature_text,
                CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'Makes ' || p_name || '. See ' || p_brand END AS docstring
-        FROM part, n""",
+        FROM part, fact_count""",
     "refs": """
         SELECT l_orderkey * 10 + l_linenumber AS ref_id, l_orderkey % nf AS file_id, CAST(1 + l_orderkey % 4 AS BIGINT) AS unit_id,
                CAST(1 + (l_orderkey * 7 + l_linenumber * 31) % 350 AS BIGINT) AS start_line,
@@ -48,7 +48,7 @@ FACTS: dict[str, str] = {
                CASE WHEN l_returnflag = 'A' THEN 'proven' WHEN l_returnflag = 'R' THEN 'strong' WHEN l_linenumber % 2 = 0 THEN 'anchored' ELSE 'unknown' END AS ref_tier,
                CASE WHEN l_linestatus = 'F' THEN 'certain' ELSE 'uncertain' END AS certainty,
                'tok' || CAST(l_suppkey % 50 AS STRING) AS token_text, CAST(l_suppkey % 40 AS BIGINT) AS scope_id
-        FROM lineitem, n""",
+        FROM lineitem, fact_count""",
     "imports": f"""
         SELECT 'i' || CAST(o_orderkey AS STRING) AS import_uid, o_custkey % nf AS file_id, CAST(1 + o_custkey % 4 AS BIGINT) AS unit_id,
                'name' || CAST(o_orderkey % 30 AS STRING) AS imported_name, CASE WHEN o_orderkey % 9 = 0 THEN 'wildcard' ELSE 'python_from' END AS import_kind,
@@ -56,7 +56,7 @@ FACTS: dict[str, str] = {
                {MODULE.format(k='((o_orderkey * 13 + o_custkey) % nf)')} AS source_literal,
                CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE {PATH.format(k='((o_orderkey * 13 + o_custkey) % nf)')} END AS resolved_path,
                CAST(1 + o_orderkey % 60 AS BIGINT) AS start_line
-        FROM orders, n""",
+        FROM orders, fact_count""",
     "coverage": """
         SELECT 'tests/pkg' || CAST(l_suppkey % 20 AS STRING) || '/test_m' || CAST(l_suppkey * 7 AS STRING) || '.py::case' || CAST(l_linenumber AS STRING) AS test_id,
                'd' || CAST(l_partkey AS STRING) AS target_def_uid, CAST(l_quantity AS BIGINT) AS covered_lines, CAST(50 AS BIGINT) AS total_lines,
@@ -66,14 +66,14 @@ FACTS: dict[str, str] = {
         SELECT {PATH.format(k='(o_custkey % nf)')} AS file_path, o_orderpriority AS tool_id, CAST(o_orderkey % 4 AS BIGINT) AS error_count,
                CAST(o_orderkey % 7 AS BIGINT) AS warning_count, CAST(o_orderkey % 2 AS BIGINT) AS info_count,
                o_orderkey % 4 = 0 AND o_orderkey % 7 = 0 AS clean, CAST(o_orderkey % 3 AS BIGINT) AS epoch
-        FROM orders, n""",
+        FROM orders, fact_count""",
     "impls": """
         SELECT 'd' || CAST(p_partkey AS STRING) AS implementor_def_uid, 'I' || CAST(p_size AS STRING) || lower(p_brand) AS interface_name FROM part
         UNION ALL SELECT 'd' || CAST(p_partkey AS STRING), 'J' || CAST(p_partkey % 101 AS STRING) FROM part""",
     "scopes": """
         SELECT p_partkey AS scope_id, p_partkey % nf AS file_id, CASE WHEN p_size % 3 = 0 THEN 'class' WHEN p_size % 3 = 1 THEN 'function' ELSE 'block' END AS kind,
                CAST(1 + (p_partkey * 37) % 300 AS BIGINT) AS start_line, CAST(1 + (p_partkey * 37) % 300 + p_size * 3 AS BIGINT) AS end_line
-        FROM part, n
+        FROM part, fact_count
         UNION ALL SELECT 10000000 + c_custkey, c_custkey, 'file', CAST(1 AS BIGINT), CAST(100000 AS BIGINT) FROM customer""",
     "xrefs": """
         SELECT 'd' || CAST(l_partkey AS STRING) AS source_def_uid, 'd' || CAST((l_partkey * 3 + l_suppkey) % 200 AS STRING) AS target_def_uid,

@@ -1 +1,92 @@
-"""Queries, to come."""
+"""Queries of section 2.9: streams and increments. A bounded table goes through the same operators as a stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diff, joins
+from ..streaming import events as ev
+from .registry import query
+
+
+@query("o225_debounce", """
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
+         s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, epoch_us(min(ts)) AS started_us, count(*) AS events FROM s GROUP BY user_id, s""")
+def _(f):
+    return ev.debounced(f.events, "ts", "user_id", "30 minutes").select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("started_us"), "events")
+
+
+@query("o225_windowed", """
+    SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)) AS started_ms, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def _(f):
+    return ev.windowed(f.events, "ts", "1 hour", None, "10 minutes", ["event_type"]).select(F.unix_millis(F.col("start").cast("timestamp")).alias("started_ms"), "event_type", "events", "total")
+
+
+@query("o226_pending_flush", "SELECT DISTINCT user_id, event_type FROM events")
+def _(f):
+    return f.events.dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("o228_polled_changes", """
+    WITH a AS (SELECT 'f' || CAST(c_custkey AS STRING) AS path, c_custkey % 5 AS m FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT 'f' || CAST(c_custkey AS STRING) AS path, c_custkey % 3 AS m FROM customer WHERE c_custkey % 11 <> 0)
+    SELECT * FROM (SELECT path, CASE WHEN a.m IS NULL THEN 'created' WHEN b.m IS NULL THEN 'deleted' WHEN a.m <> b.m THEN 'modified' END AS kind FROM a FULL OUTER JOIN b USING (path)) WHERE kind IS NOT NULL""")
+def _(f):
+    k = F.col("c_custkey")
+    path = F.concat(F.lit("f"), k.cast("string")).alias("path")
+    return ev.polled_changes(f.customer.where("c_custkey % 7 <> 0").select(path, (k % 5).alias("mtime")), f.customer.where("c_custkey % 11 <> 0").select(path, (k % 3).alias("mtime")))
+
+
+@query("o233_incremental_reindex", "SELECT DISTINCT file_id FROM (SELECT id AS file_id FROM files WHERE id IN (3, 4) UNION ALL SELECT file_id FROM refs WHERE target_def_uid IS NOT NULL AND target_def_uid NOT IN (SELECT def_uid FROM defs WHERE file_id NOT IN (3, 4)))")
+def _(f):
+    lost = joins.dangling(f.refs, f.defs.where("file_id NOT IN (3, 4)"))
+    return ev.widened(f.files.where("id IN (3, 4)").select(F.col("id").alias("file_id")), lost)
+
+
+@query("o234_full_reindex_diff", "SELECT path, CASE WHEN worktree_id = 1 THEN 'removed' ELSE CASE WHEN id % 2 = 0 THEN 'modified' ELSE 'unchanged' END END AS change FROM files")
+def _(f):
+    now = f.files.where("worktree_id <> 1").withColumn("content_hash", F.when(F.col("id") % 2 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")))
+    return diff.reconcile(f.files, now)
+
+
+@query("o235_stale_coverage", "SELECT target_def_uid, count(*) AS facts, CAST(count(*) FILTER (stale OR target_def_uid IN (SELECT def_uid FROM defs WHERE file_id < 30)) AS BIGINT) AS stale_facts FROM coverage GROUP BY 1")
+def _(f):
+    changed = f.defs.where("file_id < 30").select(F.col("def_uid").alias("target_def_uid"))
+    return ev.mark_stale(f.coverage, changed).groupBy("target_def_uid").agg(F.count("*").alias("facts"), F.sum(F.col("stale").cast("long")).alias("stale_facts"))
+
+
+@query("o236_signal_backfill", "SELECT def_uid FROM defs WHERE def_uid NOT IN (SELECT 'd' || CAST(vec_id AS STRING) FROM embeddings WHERE label <> 1)")
+def _(f):
+    return joins.without(f.defs, f.embeddings.where("label <> 1").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("def_uid")), "def_uid").select("def_uid")
+
+
+@query("o231_epoch_publish", "SELECT epoch_id, count(*) AS n FROM snapshots WHERE epoch_id = 7 GROUP BY 1")
+def _(f):
+    import uuid
+
+    from ..operators.graph import shared_folder
+
+    epochs = ev.Epochs(f.spark, f"{shared_folder(f.spark)}/factloom-epochs/{uuid.uuid4().hex}")
+    for e in (6, 7):
+        epochs.publish(f.snapshots.where(F.col("epoch_id") == e), e)
+    return epochs.read().groupBy("epoch_id").agg(F.count("*").alias("n"))
+
+
+@query("o038_upsert", """
+    WITH c AS (SELECT doc_id, quality, toxic FROM labels), n AS (SELECT doc_id, CAST(1 AS INTEGER) AS quality, CAST(0 AS INTEGER) AS toxic FROM documents WHERE doc_id % 10 = 0)
+    SELECT * FROM n UNION ALL SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n)""")
+def _(f):
+    new = f.documents.where("doc_id % 10 = 0").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return joins.merge_rows(f.labels.select("doc_id", "quality", "toxic"), new, ["doc_id"])
+
+
+@query("o034_parquet_scan", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE n_chars > 1000 GROUP BY 1")
+def _(f):
+    return f.documents.where("n_chars > 1000").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("o036_schema_alignment", "SELECT CAST(doc_id AS STRING) AS doc_id, CAST(NULL AS DOUBLE) AS score, lang FROM documents")
+def _(f):
+    from ..sources.tables import aligned
+
+    return aligned(f.documents, "doc_id string, score double, lang string")

@@ -66,7 +66,7 @@ def _(f):
     return impact.covering_tests(f.defs.where("file_id < 100"), f.coverage)
 
 
-REPORT = "SELECT f.path, CAST(l_linenumber * 40 + l_suppkey % 40 AS BIGINT) AS line, CAST(l_quantity AS BIGINT) % 3 AS hits FROM lineitem JOIN files f ON f.id = l_orderkey % (SELECT nf FROM n)"
+REPORT = "SELECT f.path, CAST(l_linenumber * 40 + l_suppkey % 40 AS BIGINT) AS line, CAST(l_quantity AS BIGINT) % 3 AS hits FROM lineitem JOIN files f ON f.id = l_orderkey % (SELECT nf FROM fact_count)"
 
 
 @query("o085_coverage_ingestion", f"""

@@ -1 +1,200 @@
-"""Queries, to come."""
+"""Queries of section 2.7: scalar functions, and the chunkers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import chunks
+from .registry import query
+
+LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), e AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l)"
+CUT = """
+    c AS (SELECT doc_id, min(i) AS start_line, max(i) AS end_line, arg_min(name, i) AS chunk_key, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS t FROM n GROUP BY doc_id, chunk)"""
+
+
+@query("o200_markdown_chunks", f"""
+    WITH {LINES.replace('text,', "replace(text, '. ', chr(10) || '# '),")}, b AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+') AS h FROM e),
+         n AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS chunk, CASE WHEN h THEN trim(regexp_extract(line, '^#{{1,6}}\\s+(.+)', 1)) ELSE 'preamble' END AS name FROM b), {CUT}
+    SELECT doc_id, chunk_key, substr(t, 1, 2000) AS chunk_text, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM c WHERE length(t) >= 30""")
+def _(f):
+    return chunks.markdown(f.documents.withColumn("text", F.regexp_replace("text", r"\. ", "\n# ")), "doc_id")
+
+
+@query("o200_key_value_chunks", f"""
+    WITH {LINES.replace('text,', "replace(text, '. ', chr(10) || 'key: '),")}, b AS (SELECT *, regexp_matches(line, '^[a-zA-Z_][a-zA-Z0-9_.-]*\\s*[:=]') AS h FROM e),
+         n AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS chunk, CASE WHEN h THEN regexp_extract(line, '^([a-zA-Z_][a-zA-Z0-9_.-]*)\\s*[:=]', 1) ELSE 'header' END AS name FROM b), {CUT}
+    SELECT doc_id, chunk_key, substr(t, 1, 2000) AS chunk_text, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM c WHERE length(t) >= 30""")
+def _(f):
+    return chunks.key_value(f.documents.withColumn("text", F.regexp_replace("text", r"\. ", "\nkey: ")), "doc_id")
+
+
+@query("o200_paragraph_chunks")
+def _(f):
+    return chunks.paragraphs(f.documents.withColumn("text", F.regexp_replace("text", r"\. ", "\n\n\n")), "doc_id")
+
+
+@query("o180_word_split", "SELECT def_uid, array_to_string(string_split(lower(name), '_'), ' ') AS words FROM defs")
+def _(f):
+    return f.defs.select("def_uid", F.array_join(text.word_split(F.col("name")), " ").alias("words"))
+
+
+@query("o181_path_phrase", "SELECT path, regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(path, '^src/', ''), '\\.[a-z]+$', ''), '/', ' '), '_', ' '), '([a-z])([0-9])', '\\1 \\2', 'g'), '\\s+', ' ', 'g') AS phrase FROM files")
+def _(f):
+    return f.files.select("path", text.path_phrase(F.col("path")).alias("phrase"))
+
+
+@query("o182_compact_signature", "SELECT def_uid, replace(name, '_', ' ') || replace(signature_text, 'self, ', '') AS signature FROM defs")
+def _(f):
+    return f.defs.select("def_uid", text.compact_signature(F.col("name"), F.col("signature_text")).alias("signature"))
+
+
+@query("o183_scaffold", """
+    WITH c AS (SELECT DISTINCT d.def_uid, t.name FROM refs r JOIN defs d ON d.file_id = r.file_id AND r.start_line BETWEEN d.start_line AND d.end_line JOIN defs t ON t.def_uid = r.target_def_uid WHERE d.def_uid <> t.def_uid),
+         a AS (SELECT def_uid, list_slice(list_sort(list(name)), 1, 30) AS calls FROM c GROUP BY 1)
+    SELECT d.def_uid, d.kind || ' ' || replace(d.name, '_', ' ') || replace(d.signature_text, 'self, ', '') AS head, coalesce('calls ' || array_to_string(calls, ', '), '') AS calls FROM defs d LEFT JOIN a USING (def_uid)""")
+def _(f):
+    from ..operators import joins
+
+    names = f.defs.select(F.col("def_uid").alias("dst"), "name")
+    calls = joins.enclosing_refs(f.refs, f.defs).join(names, "dst").groupBy(F.col("src").alias("def_uid")).agg(F.collect_set("name").alias("_calls"))
+    d = f.defs.join(calls, "def_uid", "left").join(f.files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    whole = text.scaffold(F.col("path"), F.col("kind"), F.col("name"), F.col("signature_text"), F.col("qualified_name"), F.col("docstring"), F.col("_calls"), F.array().cast("array<string>"))
+    lines = F.split(whole, "\n")
+    return d.select("def_uid", F.get(lines, F.lit(1)).alias("head"), F.coalesce(F.get(F.filter(lines, lambda x: x.startswith("calls ")), F.lit(0)), F.lit("")).alias("calls"))
+
+
+@query("o184_task_terms", """
+    WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: length(x) >= 4)) AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS w FROM t)
+    SELECT item_id, string_agg(w, ' ' ORDER BY length(w) DESC, w) AS terms FROM u GROUP BY 1""")
+def _(f):
+    return f.benchmark.select("item_id", F.array_join(text.task_terms(F.col("text")), " ").alias("terms")).where("terms <> ''")
+
+
+@query("o185_negative_mentions", "SELECT conv_id, turn, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '\\b(?:not|exclude|excluding|except|without)\\s+([a-z0-9_.,;:!?]+)', 1), lambda x: trim(x, '.,;:!?')), lambda x: length(x) >= 2)), ' ') AS negative FROM conversations WHERE false")
+def _(f):
+    return f.conversations.select("conv_id", "turn", F.array_join(text.negative_mentions(F.col("text")), " ").alias("negative")).where("negative <> ''")
+
+
+@query("o186_intent", """
+    WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'fix the error in ' WHEN 1 THEN 'add support for ' WHEN 2 THEN 'explain how ' ELSE 'a ' END || p_name AS t FROM part)
+    SELECT p_partkey, CASE WHEN starts_with(t, 'fix') THEN 'debug' WHEN starts_with(t, 'add') THEN 'implement' WHEN starts_with(t, 'explain') THEN 'understand' ELSE 'unknown' END AS intent FROM t""")
+def _(f):
+    s = F.col("p_size") % 4
+    task = F.concat(F.when(s == 0, "fix the error in ").when(s == 1, "add support for ").when(s == 2, "explain how ").otherwise("a "), F.col("p_name"))
+    return f.part.select("p_partkey", text.intent(task).alias("intent"))
+
+
+@query("o187_module_of", "SELECT path, replace(regexp_replace(regexp_replace(path, '\\.[a-z]+$', ''), '^src/', ''), '/', '.') AS module FROM files")
+def _(f):
+    from ..functions import paths
+
+    return f.files.select("path", paths.module_of(F.col("path")).alias("module"))
+
+
+@query("o188_def_uid", "SELECT def_uid, substr(sha256(CAST(unit_id AS STRING) || ':' || CAST(file_id AS STRING) || ':' || kind || ':' || lexical_path || ':' || signature_hash), 1, 16) AS uid FROM defs")
+def _(f):
+    return f.defs.select("def_uid", text.def_uid(F.col("unit_id").cast("string"), F.col("file_id").cast("string"), F.col("kind"), F.col("lexical_path"), F.col("signature_hash")).alias("uid"))
+
+
+@query("o189_worktree_uid", "SELECT def_uid, CASE WHEN file_id % 3 = 0 THEN def_uid ELSE substr(sha256(CAST(1 + file_id % 3 AS STRING) || ':' || def_uid), 1, 16) END AS uid FROM defs")
+def _(f):
+    return f.defs.select("def_uid", text.worktree_uid(F.col("def_uid"), 1 + F.col("file_id") % 3, F.col("file_id") % 3 == 0).alias("uid"))
+
+
+@query("o190_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def _(f):
+    from ..sources.files import content_hash
+
+    return f.documents.select("doc_id", content_hash("text").alias("hash"))
+
+
+@query("o191_lexical_path", "SELECT def_uid, lexical_path, CAST(len(string_split(lexical_path, '.')) AS BIGINT) AS depth FROM defs")
+def _(f):
+    return f.defs.select("def_uid", "lexical_path", F.size(F.split("lexical_path", r"\.")).cast("long").alias("depth"))
+
+
+@query("o192_containing_scope", """
+    WITH m AS (SELECT r.ref_id, s.scope_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY CASE WHEN s.kind <> 'file' THEN 1 ELSE 2 END, s.end_line - s.start_line, s.scope_id) AS p FROM refs r JOIN scopes s ON s.file_id = r.file_id AND r.start_line BETWEEN s.start_line AND s.end_line WHERE r.ref_id % 10 = 1)
+    SELECT ref_id, scope_id FROM m WHERE p = 1""")
+def _(f):
+    from ..operators import joins
+
+    return joins.innermost(f.refs.where("ref_id % 10 = 1").select("ref_id", "file_id", F.col("start_line").alias("_line")), "_line", f.scopes, "ref_id").select("ref_id", "scope_id")
+
+
+@query("o193_sparse_codec", "SELECT p_partkey, round(p_retailprice / 7, 4) AS weight FROM part WHERE round(p_retailprice / 7, 4) <> 0")
+def _(f):
+    v = text.sparse_round(F.create_map(F.lit(1), F.col("p_retailprice") / 7))
+    back = F.transform_keys(F.from_json(F.to_json(v), "map<string,double>"), lambda k, _: k.cast("int"))
+    return f.part.select("p_partkey", F.element_at(back, 1).alias("weight"))
+
+
+@query("o195_signature_parts", "SELECT def_uid, 'self, ' || regexp_extract(signature_text, '\\(self, ([^)]*)\\)', 1) AS params, trim(regexp_extract(signature_text, '->(.*)$', 1)) AS returns FROM defs")
+def _(f):
+    return f.defs.select("def_uid", text.parameters(F.col("signature_text")).alias("params"), text.return_type(F.col("signature_text")).alias("returns"))
+
+
+@query("o196_delta_tags", """
+    SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'symbol_added' WHEN 1 THEN 'symbol_renamed' WHEN 2 THEN CASE WHEN p_partkey % 30 <= 2 THEN 'minor_change,possibly_comment_or_whitespace' WHEN p_partkey % 30 = 3 THEN 'minor_change' WHEN p_partkey % 30 > 20 THEN 'major_change' ELSE 'body_logic_changed' END
+        ELSE CASE WHEN p_partkey % 2 = 0 THEN 'parameters_changed' ELSE 'return_type_changed' END END AS tags FROM part""")
+def _(f):
+    s, k = F.col("p_size") % 4, F.col("p_partkey")
+    change = F.when(s == 0, "added").when(s == 1, "renamed").when(s == 2, "body_changed").otherwise("signature_changed")
+    tags = text.delta_tags(change, F.lit("f(a) -> int"), F.when(k % 2 == 0, "f(b) -> int").otherwise("f(a) -> str"), k % 30)
+    return f.part.select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query("o197_overlap", "SELECT def_uid, CASE WHEN least(end_line, 120) - greatest(start_line, 100) + 1 > 0 THEN least(end_line, 120) - greatest(start_line, 100) + 1 END AS n FROM defs")
+def _(f):
+    hunks = F.array(F.struct(F.lit(100).cast("long").alias("start"), F.lit(120).cast("long").alias("end")))
+    return f.defs.select("def_uid", text.overlap(F.col("start_line"), F.col("end_line"), hunks).alias("n"))
+
+
+@query("o199_behaviour_risk", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE CASE WHEN p_partkey % 20 > 10 THEN 'medium' ELSE 'unknown' END END AS risk FROM part")
+def _(f):
+    s = F.col("p_size") % 3
+    change = F.when(s == 0, "added").when(s == 1, "removed").otherwise("body_changed")
+    return f.part.select("p_partkey", text.behaviour_risk(change, F.col("p_partkey") % 20).alias("risk"))
+
+
+@query("o201_cross_references", "SELECT def_uid, 1 AS line, 'Brand' AS target, 'high' AS confidence FROM defs WHERE false")
+def _(f):
+    doc = F.concat(F.lit("Plain words. Brand, no reference here\n"), F.lit("again none"))
+    return f.defs.select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
+
+
+@query("o201_cross_references_found", "SELECT def_uid, 1 AS line, name AS target, 'high' AS confidence FROM defs UNION ALL SELECT def_uid, 2, 'MyType', 'low' FROM defs UNION ALL SELECT def_uid, 2, 'a.b.c', 'medium' FROM defs")
+def _(f):
+    doc = F.concat(F.lit("Uses :func:`"), F.col("name"), F.lit("` here\nthen a.b.c of MyType"))
+    return f.defs.select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
+
+
+@query("o202_endpoints", "SELECT id, 'server' AS kind, http_method AS method, url_pattern AS url FROM endpoints WHERE url_pattern <> '/'")
+def _(f):
+    source = F.concat(F.lit("@app."), F.lower("http_method"), F.lit('("'), F.col("url_pattern"), F.lit('")\ndef f(): pass'))
+    return f.endpoints.where("url_pattern <> '/'").select("id", F.explode(text.endpoints(source)).alias("x")).select("id", "x.kind", "x.method", "x.url")
+
+
+@query("o203_percent_format", "SELECT s_suppkey, printf('%.1f%%', 100.0 * s_nationkey / 25) AS shown FROM supplier")
+def _(f):
+    return f.supplier.select("s_suppkey", F.format_string("%.1f%%", 100.0 * F.col("s_nationkey") / 25).alias("shown"))
+
+
+@query("o204_test_ids", "SELECT test_id, split_part(test_id, '::', 1) AS path, split_part(test_id, '::', 2) AS name, bool_or(starts_with(test_id, 'tests/pkg1/')) AS failed FROM coverage GROUP BY ALL")
+def _(f):
+    parts = F.split("test_id", "::")
+    failed = F.bool_or(F.col("test_id").startswith("tests/pkg1/") | F.lit("tests/pkg1/").startswith(F.col("test_id")))
+    return f.coverage.groupBy("test_id", parts[0].alias("path"), parts[1].alias("name")).agg(failed.alias("failed"))
+
+
+@query("o205_entropy", "WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, round(-sum(p * ln(p)), 6) AS entropy, count(*) AS categories FROM p GROUP BY 1")
+def _(f):
+    from ..operators.aggregates import entropy
+
+    return entropy(f.documents, "lang", "source")
+
+
+@query("o206_json_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def _(f):
+    return f.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
