@@ -121,15 +121,15 @@ def equal_bytes(x: np.ndarray) -> np.ndarray:
     return np.packbits(x.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
 
 
-def links_of_lists(key: np.ndarray, node: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def links_of_lists(key: np.ndarray, node: np.ndarray, prints: np.ndarray, bits: int, small_list: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
     """Linked nodes of whole lists of up to LARGE entries, sorted by key."""
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.concatenate([begin, [len(key)]]))
     a, b = [], []
-    small = np.repeat((size > 1) & (size <= SMALL), size)
+    small = np.repeat((size > 1) & (size <= small_list), size)
     k, n, f = key[small], node[small], prints[small]
     at = np.arange(len(k))
-    for lag in range(1, SMALL):
+    for lag in range(1, small_list):
         at = at[: max(0, len(k) - lag)] if lag == 1 else at[at + lag < len(k)]
         at = at[k[at] == k[at + lag]]
         if not len(at):
@@ -140,7 +140,7 @@ def links_of_lists(key: np.ndarray, node: np.ndarray, prints: np.ndarray, bits:
         good &= np.bitwise_count(x) <= bits
         a.append(n[at[good]])
         b.append(n[at[good] + lag])
-    for i, m in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+    for i, m in zip(begin[size > small_list].tolist(), size[size > small_list].tolist(), strict=True):
         f, n = prints[i : i + m], node[i : i + m]
         near = np.empty((m, m), bool)
         for r in range(0, m, 256):
@@ -158,7 +158,7 @@ def links_of_lists(key: np.ndarray, node: np.ndarray, prints: np.ndarray, bits:
     return np.concatenate(a or [node[:0]]), np.concatenate(b or [node[:0]])
 
 
-def links(nodes: DataFrame, tables: int = 1, bits: int = 4) -> DataFrame:
+def links(nodes: DataFrame, tables: int = 1, bits: int = 4, small: int = SMALL, large: int = LARGE) -> DataFrame:
     """a, b: links between nodes whose fingerprints differ in at most bits (even, up to 4) bits in some table.
 
     Links that follow from others are left out of long lists; components are the same.
@@ -185,7 +185,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 4) -> DataFrame:
                 over = None
             yield from whole(now, cut := int(np.searchsorted(now[0], now[0][-1])))
             held = [x[cut:] for x in now]
-            if len(held[0]) > LARGE:
+            if len(held[0]) > large:
                 over = int(held[0][0])
                 yield table(held[1], held[2], 1 + (over >> 24) // len(TRIPLES))
                 held = [x[:0] for x in held]
@@ -198,14 +198,14 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 4) -> DataFrame:
             return
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([begin, [n]]))
-        long = np.repeat(size > LARGE, size)
+        long = np.repeat(size > large, size)
         if long.any():
             for k in np.unique(key[long]):
                 own = key == k
                 yield table(node[own], prints[own], 1 + int(k >> 24) // len(TRIPLES))
             key, node, prints = key[~long], node[~long], prints[~long]
         if len(key):
-            a, b = links_of_lists(key, node, prints.view(np.uint64), bits)
+            a, b = links_of_lists(key, node, prints.view(np.uint64), bits, small)
             if len(a):
                 yield table(a, b, 0)
 

@@ -99,7 +99,7 @@ def read_blocks(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("number", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end: int, name: str = "token-files") -> tuple[str, DataFrame]:
+def write_token_files(docs: DataFrame, tokenizer: str, end: int, name: str = "token-files", block_ids: int = BLOCK_IDS, file_bytes: int = FILE_BYTES) -> tuple[str, DataFrame]:
     """Write the documents' ids, each followed by end, in ascending doc_id order.
 
     Returns the folder and its manifest: part, file, number (of the file in its
@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, name: str = "to
             out.write(block)
             made, total, count = made + len(block), total + waiting, count + len(doc_ids)
             doc_ids, held, waiting = [], [], 0
-            if made >= FILE_BYTES:
+            if made >= file_bytes:
                 close()
 
         def close() -> None:
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, name: str = "to
                     doc_ids.append(NULL_ID if i is None else i)
                     held.append(np.concatenate([ids, tail]))
                     waiting += len(ids) + 1
-                    if waiting >= BLOCK_IDS:
+                    if waiting >= block_ids:
                         flush()
         flush()
         close()

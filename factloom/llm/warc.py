@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
 INDEX = pa.schema([("part", pa.int32()), ("file", pa.string()), ("first", pa.string()), ("directory", pa.int64()), ("size", pa.int64()), ("lines", pa.int64())])
 
 
-def write_index(captures: DataFrame) -> tuple[str, DataFrame]:
+def write_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> tuple[str, DataFrame]:
     """Write the index files; returns the folder and one row a file: its first key and where its directory begins."""
     spark = captures.sparkSession
     folder = scratch(spark, "warc-index")
@@ -164,7 +164,7 @@ def write_index(captures: DataFrame) -> tuple[str, DataFrame]:
                     out = fs.open_output_stream(f"{root}/{file}")
                 held.append(row)
                 n += 1
-                if len(held) >= BLOCK_LINES:
+                if len(held) >= block_lines:
                     flush()
         if out is not None:
             if held:
@@ -301,10 +301,10 @@ def read_records(spark: SparkSession, folder: str, captures: DataFrame) -> DataF
     return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
+def archive_round_trip(pages: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the archives and their index, look every page's URL up in it, and read the records found."""
     spark = pages.sparkSession
     folder, captures = write_archives(pages)
-    index, manifest = write_index(captures)
+    index, manifest = write_index(captures, block_lines)
     keys = captures.select("key").distinct()
     return read_records(spark, folder, look_up(spark, index, manifest, keys))
