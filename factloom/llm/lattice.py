@@ -288,9 +288,14 @@ def score_texts(docs: DataFrame, path: str, rounds: int = ROUNDS, top: int = TOP
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), t.column(1).combine_chunks(), pa.array(p)], names=["word", "count", "log10_p"])
 
     weighed = materialise(counts.mapInArrow(weigh, "word binary, count long, log10_p double"), "lm-words")
-    # bounded by top
-    common = weighed.orderBy(F.col("count").desc(), "word").limit(top).toPandas()
-    base_of = math.log10(n + v + 1)
+    # the counts' logarithms in a few hundred bins give the least count of at most top words
+    bin_of = F.floor(F.log2(F.col("count")) * 8)
+    room, least = top, math.inf
+    for r in sorted(weighed.where("count > 0").groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.min("count").alias("low")).collect(), key=lambda r: -r["bin"]):
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["low"]
+    common = weighed.where(F.col("count") >= F.lit(float(least))).toPandas()  # at most top rows
     table = {
         w: (c, math.log10(c + 1) - base_of, p) for w, c, p in zip(common["word"].map(bytes), common["count"].tolist(), common["log10_p"].tolist(), strict=True)
     }
