@@ -39,6 +39,8 @@ from .common import materialise, texts
 
 SEED = 42
 SMALL, LARGE = 64, 4096
+#: Links to a task and file when components are written.
+LINKS_A_FILE = 200_000
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -214,7 +216,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 4, small: int = SMALL,
     found = materialise(dealt.mapInArrow(run, "a long, b long, far int"), "simhash-links")
     near = found.where("far = 0").select("a", "b")
     far = found.where("far > 0").select(F.col("far").alias("t"), F.col("a").alias("node"), F.col("b").alias("print")).distinct()
-    return near.unionByName(meeting(far, bits))
+    return near.unionByName(meeting(far, bits)) if found.where("far > 0").take(1) else near
 
 
 def meeting(far: DataFrame, bits: int) -> DataFrame:
@@ -238,21 +240,24 @@ def meeting(far: DataFrame, bits: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of every node with a link (a, b)."""
 
+    # few links make few files; a file for each shuffle partition and round would be most of the work
+    parts = edges.count() // LINKS_A_FILE + 1
+
     def measured(e: DataFrame) -> tuple[int, int]:
         h = F.xxhash64("a", "b").cast("decimal(20,0)")
         return e.agg(F.count("*"), F.sum(h)).first()
 
-    now = materialise(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "links")
+    now = materialise(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct().coalesce(parts), "links")
     state = measured(now)
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "links")
+        large = materialise(large.coalesce(parts), "links")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialise(small.where("a <> b").distinct(), "links")
+        now = materialise(small.where("a <> b").distinct().coalesce(parts), "links")
         before, state = state, measured(now)
         if state == before:
             break
