@@ -1,6 +1,7 @@
 """Cases that the driver's tables don't hold."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,16 +182,22 @@ def test_streams(spark, tmp_path):
     stream = lambda: spark.readStream.schema(df.schema).parquet(str(source))
 
     def run(out, name, mode):
-        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
+        q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
         return spark.table(name).collect()
 
     got = run(events.debounced(stream(), "ts", "key", "10 minutes", "0 seconds"), "runs", "append")
     assert sorted(r["events"] for r in got) == [2, 3]  # the last run is still open
     got = run(events.windowed(stream(), "ts", "30 minutes", None, "1 hour", ["key"]), "windows", "complete")
     assert sorted(r["events"] for r in got) == [1, 5]
-    got = run(events.debounced_with_cap(stream(), "ts", "key", 600.0, 90.0), "capped", "append")
+    capped = events.debounced_with_cap(stream(), "ts", "key", 600.0, 90.0)
+    q = capped.writeStream.format("memory").queryName("capped").outputMode("append").option("checkpointLocation", str(tmp_path / "capped")).start()
+    for _ in range(60):  # timers keep such a stream busy, so there is no end to wait for
+        time.sleep(0.5)
+        if spark.table("capped").count():
+            break
+    q.stop()
+    got = spark.table("capped").collect()
     assert sum(r["events"] for r in got) == 5 and max(r["events"] for r in got) == 2
     seen = []
     q = events.flush_batches(stream(), ["key"], lambda b, i: seen.append((i, b.count())), str(tmp_path / "flush")).start()
