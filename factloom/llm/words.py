@@ -76,8 +76,12 @@ class Words:
     def learn(self, new: list[str]) -> None:
         """Put new segments into the memo."""
         if self.by_word:
+            # a lower-case ASCII word is its own pre-token
+            whole = [s for s in new if s.isascii() and s.isalpha() and s.islower()]
+            held = set(whole)
+            new = [s for s in new if s not in held]
             split = [self.pre_tokens(s) for s in new]
-            distinct = list({p for s in split if s for p in s})
+            distinct = [*whole, *({p for s in split if s for p in s} - held)]
             known: dict[str, bytes] = {}
             joined = [" ".join(distinct[k : k + JOINED]) for k in range(0, len(distinct), JOINED)]
             for k, e in enumerate(self.library.encode_batch_fast(joined, add_special_tokens=False)):
@@ -90,6 +94,7 @@ class Words:
                 for p, cut in zip(part, (cuts * 4).tolist(), strict=True):
                     known[p] = raw[at:cut]
                     at = cut
+            self.memo.update((s, known[s]) for s in whole)
             for s, found in zip(new, split, strict=True):
                 if found is not None:
                     self.memo[s] = b"".join([known[p] for p in found])
