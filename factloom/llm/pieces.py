@@ -92,6 +92,9 @@ class Vocabulary:
         self.chars = {p: i for p, i in self.ids.items() if len(p) == 1}
         if any(c not in self.chars for p in self.ids for c in p):
             raise ValueError("a character of a piece is not a piece itself")
+        self.by_code = np.full(0x110000, -2, np.int32)  # a character's piece by its code point
+        for c, i in self.chars.items():
+            self.by_code[ord(c)] = i
         self.size = len(table)
         pairs = sorted(
             (self.ids[p[:k]] * self.size + self.ids[p[k:]], i, self.scores[p])
@@ -160,7 +163,7 @@ class Vocabulary:
         if not n:
             return [[] for _ in segments]
         symbols = np.full((rows, n + 1), -1, np.int32)  # a character outside the vocabulary is -2 and never merges
-        flat = np.fromiter((chars.get(c, -2) for s in segments for c in s), np.int32)
+        flat = self.by_code[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")]
         lengths = np.fromiter(map(len, segments), np.int64, rows)
         inside = np.arange(n + 1) < lengths[:, None]
         symbols[inside] = flat
