@@ -22,8 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df written into the shared folder and read again: a round's table, which survives lost executors."""
-    uri = f"{shared_folder(df.sparkSession)}/factloom-rounds/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    uri = f"{shared_folder(spark)}/factloom-rounds/{uuid.uuid4().hex}"
     df.write.parquet(uri)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)  # with the driver's JVM
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
