@@ -135,16 +135,22 @@ def _(f):
 NAMED = "SELECT r.ref_id, r.file_id, d.name, d2.namespace FROM refs r JOIN defs d ON d.def_uid = r.target_def_uid JOIN defs d2 ON d2.def_uid = 'd' || CAST(r.ref_id % 150 AS STRING) WHERE r.ref_id % 20 < 3"
 
 
-def named_refs(f):
+def named_refs(f, refs=None):
+    """The references with a name and namespace: those that NAMED takes, or the given ones."""
     d = f.defs.select(F.col("def_uid").alias("target_def_uid"), "name")
     d2 = f.defs.select(F.col("def_uid").alias("_u"), "namespace")
-    r = f.refs.where("ref_id % 20 < 3").join(d, "target_def_uid").withColumn("_u", F.concat(F.lit("d"), (F.col("ref_id") % 150).cast("string")))
+    refs = f.refs.where("ref_id % 20 < 3") if refs is None else refs
+    r = refs.join(d, "target_def_uid").withColumn("_u", F.concat(F.lit("d"), (F.col("ref_id") % 150).cast("string")))
     return r.join(d2, "_u").select("ref_id", "file_id", "name", "namespace")
 
 
 @query("o093_namespace_using", f"SELECT r.ref_id, min(d.def_uid) AS def_uid FROM ({NAMED}) r JOIN defs d ON d.name = r.name AND d.namespace = r.namespace GROUP BY 1")
 def _(f):
-    met = named_refs(f).join(f.defs.select("name", "namespace", "def_uid"), ["name", "namespace"])
+    return namespace_using(f, named_refs(f))
+
+
+def namespace_using(f, named):
+    met = named.join(f.defs.select("name", "namespace", "def_uid"), ["name", "namespace"])
     return met.groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 
@@ -183,7 +189,10 @@ def _(f):
          b AS (SELECT r.ref_id, min(d.def_uid) AS u FROM r JOIN defs d ON d.name = r.name AND starts_with(r.namespace, d.namespace || '.') GROUP BY 1)
     SELECT CASE WHEN a.u IS NOT NULL THEN 'namespace' WHEN b.u IS NOT NULL THEN 'parent' ELSE 'none' END AS resolved_by, count(*) AS n FROM r LEFT JOIN a USING (ref_id) LEFT JOIN b USING (ref_id) GROUP BY 1""")
 def _(f):
-    r = named_refs(f)
+    return resolution_cascade(f, named_refs(f))
+
+
+def resolution_cascade(f, r):
     same = r.join(f.defs.select("name", "namespace", "def_uid"), ["name", "namespace"]).select("ref_id", "def_uid")
     out = resolve.cascade(r.withColumn("target_def_uid", F.lit(None).cast("string")), [("namespace", same), ("parent", resolve.by_namespace(r, f.defs))])
     return out.groupBy(F.coalesce("resolved_by", F.lit("none")).alias("resolved_by")).agg(F.count("*").alias("n"))
@@ -272,8 +281,12 @@ def _(f):
          k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w, def_uid) AS p FROM m)
     SELECT id, def_uid FROM k WHERE p = 1""")
 def _(f):
+    return xref_targets(f, f.refs.where("ref_id % 50 = 0"))
+
+
+def xref_targets(f, refs):
     k = F.col("ref_id")
-    r = f.refs.where("ref_id % 50 = 0").select(k.alias("id"), F.when(k % 3 == 0, F.col("target_def_uid")).when(k % 3 == 1, "red_widget").otherwise("ring").alias("target"))
+    r = refs.select(k.alias("id"), F.when(k % 3 == 0, F.col("target_def_uid")).when(k % 3 == 1, "red_widget").otherwise("ring").alias("target"))
     return resolve.xref_targets(r, f.defs)
 
 

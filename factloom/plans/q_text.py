@@ -118,9 +118,13 @@ def _(f):
     WITH m AS (SELECT r.ref_id, s.scope_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY CASE WHEN s.kind <> 'file' THEN 1 ELSE 2 END, s.end_line - s.start_line, s.scope_id) AS p FROM refs r JOIN scopes s ON s.file_id = r.file_id AND r.start_line BETWEEN s.start_line AND s.end_line WHERE r.ref_id % 10 = 1)
     SELECT ref_id, scope_id FROM m WHERE p = 1""")
 def _(f):
+    return containing_scope(f, f.refs.where("ref_id % 10 = 1"))
+
+
+def containing_scope(f, refs):
     from ..operators import joins
 
-    return joins.innermost(f.refs.where("ref_id % 10 = 1").select("ref_id", "file_id", F.col("start_line").alias("_line")), "_line", f.scopes, "ref_id").select("ref_id", "scope_id")
+    return joins.innermost(refs.select("ref_id", "file_id", F.col("start_line").alias("_line")), "_line", f.scopes, "ref_id").select("ref_id", "scope_id")
 
 
 @query("o193_sparse_codec", "SELECT p_partkey, round(p_retailprice / 7, 4) AS weight FROM part WHERE round(p_retailprice / 7, 4) <> 0")

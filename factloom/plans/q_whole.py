@@ -1,0 +1,56 @@
+"""Queries over whole tables whose namesakes, held to their SQL, read a part of them. They have no SQL: tests compare with brute force."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, resolve
+from . import q_joins, q_text
+from .registry import query
+
+
+@query("o093_namespace_using_whole")
+def _(f):
+    return q_joins.namespace_using(f, q_joins.named_refs(f, f.refs))
+
+
+@query("o094_star_imports_whole")
+def _(f):
+    return resolve.by_star_import(q_joins.named_refs(f, f.refs), f.imports, f.defs, f.files)
+
+
+@query("o095_parent_namespace_whole")
+def _(f):
+    return resolve.by_namespace(q_joins.named_refs(f, f.refs), f.defs)
+
+
+@query("o244_resolution_cascade_whole")
+def _(f):
+    return q_joins.resolution_cascade(f, q_joins.named_refs(f, f.refs))
+
+
+@query("o108_xref_targets_whole")
+def _(f):
+    return q_joins.xref_targets(f, f.refs)
+
+
+@query("o192_containing_scope_whole")
+def _(f):
+    return q_text.containing_scope(f, f.refs)
+
+
+def order_edges(f):
+    """src, dst of every order, between customers without folding them."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return f.orders.crossJoin(F.broadcast(f.fact_count)).select(k.alias("src"), ((k * 7 + o % 3) % F.col("nf")).alias("dst")).distinct()  # one row
+
+
+@query("o209_strongly_connected_whole")
+def _(f):
+    return graph.strongly_connected(order_edges(f))
+
+
+@query("o179_touched_cycles_whole")
+def _(f):
+    changed = f.spark.createDataFrame([(1,), (50,), (100,), (200,)], "node long")
+    return graph.touched_cycles(graph.strongly_connected(order_edges(f)), changed)
