@@ -41,12 +41,12 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 
 
-def page_rank(edges: DataFrame, rounds: int = 20, alpha: float = 0.85, tolerance: float | None = None, seeds: DataFrame | None = None, every: int = 1) -> DataFrame:
+def page_rank(edges: DataFrame, rounds: int = 100, alpha: float = 0.85, tolerance: float | None = 1e-6, seeds: DataFrame | None = None, every: int = 1) -> DataFrame:
     """node, score. Rank flows along edges; ranks of nodes without edges out, and the restart, go to all nodes (or the seeds) alike.
 
     Each round is one join and one aggregate. A round reads the last table twice,
     so it is written every round (or every few): else the plan doubles each time.
-    The change is measured where a tolerance is given.
+    It ends when the ranks' changes sum to less than n * tolerance; without a tolerance, after all rounds.
     """
     nodes = cut(nodes_of(edges).join(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out")), "node", "left"))
     n = nodes.count()

@@ -27,7 +27,7 @@ def file_edges(f):
 
 @query("o208_file_page_rank", rank_sql(EDGES, "1.0 / (SELECT count(*) FROM v)"))
 def _(f):
-    return graph.page_rank(file_edges(f), ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return graph.page_rank(file_edges(f), ROUNDS, tolerance=None).select("node", F.round("score", 9).alias("score"))
 
 
 DEF_EDGES = """SELECT DISTINCT d.def_uid AS src, r.target_def_uid AS dst FROM refs r JOIN defs d ON d.file_id = r.file_id AND r.start_line BETWEEN d.start_line AND d.end_line
@@ -38,13 +38,13 @@ DEF_EDGES = """SELECT DISTINCT d.def_uid AS src, r.target_def_uid AS dst FROM re
 def _(f):
     from ..operators import joins
 
-    return graph.page_rank(graph.cut(joins.enclosing_refs(f.refs, f.defs)), ROUNDS).select("node", F.round("score", 9).alias("score"))
+    return graph.page_rank(graph.cut(joins.enclosing_refs(f.refs, f.defs)), ROUNDS, tolerance=None).select("node", F.round("score", 9).alias("score"))
 
 
 @query("o214_personalised_page_rank", rank_sql(EDGES, "CASE WHEN v.node IN (SELECT path FROM files WHERE id IN (1, 2, 3)) THEN 1.0 / (SELECT count(*) FROM v WHERE node IN (SELECT path FROM files WHERE id IN (1, 2, 3))) ELSE 0.0 END"))
 def _(f):
     seeds = f.files.where("id IN (1, 2, 3)").select(F.col("path").alias("node"))
-    return graph.page_rank(file_edges(f), ROUNDS, seeds=seeds).select("node", F.round("score", 9).alias("score"))
+    return graph.page_rank(file_edges(f), ROUNDS, tolerance=None, seeds=seeds).select("node", F.round("score", 9).alias("score"))
 
 
 SCC = f"""
@@ -79,7 +79,7 @@ def _(f):
     WITH r AS ({rank_sql(EDGES, '1.0 / (SELECT count(*) FROM v)')}), k AS (SELECT node, score, row_number() OVER (ORDER BY score DESC, node) AS p, count(*) OVER () AS n FROM r)
     SELECT node FROM k WHERE p <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) AND node IN (SELECT path FROM files WHERE id < 200)""")
 def _(f):
-    ranks = graph.page_rank(file_edges(f), ROUNDS).select("node", F.round("score", 9).alias("score"))
+    ranks = graph.page_rank(file_edges(f), ROUNDS, tolerance=None).select("node", F.round("score", 9).alias("score"))
     return graph.most_central(ranks).join(f.files.where("id < 200").select(F.col("path").alias("node")), "node", "left_semi").select("node")
 
 

@@ -1,11 +1,11 @@
-"""Queries over whole tables whose namesakes, held to their SQL, read a part of them. They have no SQL: tests compare with brute force."""
+"""Queries that do the whole job where their namesakes, held to their SQL, stop short. They have no SQL: tests compare with brute force."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, resolve
-from . import q_joins, q_text
+from ..operators import graph, joins, resolve
+from . import q_graph, q_joins, q_text
 from .registry import query
 
 
@@ -54,3 +54,29 @@ def _(f):
 def _(f):
     changed = f.spark.createDataFrame([(1,), (50,), (100,), (200,)], "node long")
     return graph.touched_cycles(graph.strongly_connected(order_edges(f)), changed)
+
+
+def rounded(ranks):
+    return ranks.select("node", F.round("score", 9).alias("score"))
+
+
+@query("o207_def_page_rank_converged")
+def _(f):
+    return rounded(graph.page_rank(graph.cut(joins.enclosing_refs(f.refs, f.defs))))
+
+
+@query("o208_file_page_rank_converged")
+def _(f):
+    return rounded(graph.page_rank(q_graph.file_edges(f)))
+
+
+@query("o213_centrality_gate_converged")
+def _(f):
+    changed = f.files.where("id < 200").select(F.col("path").alias("node"))
+    return graph.most_central(rounded(graph.page_rank(q_graph.file_edges(f)))).join(changed, "node", "left_semi").select("node")
+
+
+@query("o214_personalised_page_rank_converged")
+def _(f):
+    seeds = f.files.where("id IN (1, 2, 3)").select(F.col("path").alias("node"))
+    return rounded(graph.page_rank(q_graph.file_edges(f), seeds=seeds))
