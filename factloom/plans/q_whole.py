@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, joins, resolve
+from ..operators import graph, joins, resolve, sparse
 from . import q_graph, q_joins, q_text
 from .registry import query
 
@@ -80,3 +80,14 @@ def _(f):
 def _(f):
     seeds = f.files.where("id IN (1, 2, 3)").select(F.col("path").alias("node"))
     return rounded(graph.page_rank(q_graph.file_edges(f), seeds=seeds))
+
+
+@query("o217_sparse_encode_whole")
+def _(f):
+    weights = sparse.tf_idf(f.documents, "doc_id")
+    return weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 4).alias("mass"))
+
+
+@query("o224_centroid_whole")
+def _(f):
+    return sparse.centroid(sparse.tf_idf(f.documents, "doc_id"), f.documents.where("doc_id < 20"), "doc_id").select("term", F.round("weight", 6).alias("weight"))

@@ -101,3 +101,14 @@ def test_gate_of_converged_ranks(spark, duck):
     changed = {x for (x,) in duck.execute(oracle("SELECT path FROM files WHERE id < 200")).fetchall()}
     got = {r["node"] for r in catalogue.queries()["o213_centrality_gate_converged"](spark, SF).collect()}
     assert got == {x for x in top if x in changed}
+
+
+@pytest.mark.parametrize("name", ["o217_sparse_encode", "o224_centroid"])
+def test_whole_vocabulary(spark, duck, name):
+    some = " WHERE term IN (SELECT term FROM q0)"
+    text = catalogue.oracle_sql()[name]
+    assert some in text
+    want = duck.execute(text.replace(some, "")).fetchdf().sort_values(by="doc_id" if "217" in name else "term")
+    got = catalogue.queries()[f"{name}_whole"](spark, SF).toPandas()[list(want.columns)].sort_values(by=want.columns[0])
+    assert list(got.iloc[:, 0]) == list(want.iloc[:, 0])
+    assert list(got.iloc[:, -1]) == pytest.approx(list(want.iloc[:, -1]), abs=2e-4)
