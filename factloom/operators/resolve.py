@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .graph import cut
 
 EXPORTED = ["class", "function"]
 
@@ -52,14 +53,21 @@ def by_import_chain(refs: DataFrame, imports: DataFrame, exports: DataFrame, mod
     return chain.join(exports, (chain["unit_id"] == exports["unit_id"]) & (chain["imported_name"] == exports["exported_name"])).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 
-def scope_ancestors(scopes: DataFrame, parent: str = "parent_scope_id", rounds: int = 12) -> DataFrame:
-    """scope_id, ancestor, depth: each scope with itself and its parents, up to rounds levels."""
+def scope_ancestors(scopes: DataFrame, parent: str = "parent_scope_id", rounds: int | None = None) -> DataFrame:
+    """scope_id, ancestor, depth: each scope with itself and its parents, up to rounds levels, or to the last parent."""
     level = scopes.select("scope_id", F.col("scope_id").alias("ancestor"), F.lit(0).alias("depth"))
     up = scopes.select(F.col("scope_id").alias("ancestor"), F.col(parent).alias("_up")).where("_up IS NOT NULL")
-    out = level
-    for _ in range(rounds):
+    if rounds is None:
+        level, up = cut(level), cut(up)
+    out, done = level, 0
+    while done != rounds:
         level = level.join(up, "ancestor").select("scope_id", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        out = out.unionByName(level)
+        if rounds is None:
+            # a parent met before is a circle
+            level = cut(level.join(out.select("scope_id", "ancestor"), ["scope_id", "ancestor"], "left_anti"))
+            if not level.take(1):
+                break
+        out, done = out.unionByName(level), done + 1
     return out
 
 
@@ -89,16 +97,22 @@ def import_candidates(literal: Column, importer: Column) -> Column:
     return F.array(*plain, *rooted)
 
 
-def trace_members(starts: DataFrame, members: DataFrame, depth: int = 6) -> DataFrame:
-    """Walk a chain of members from a type: (id, type, chain array) to (id, type, steps, confidence)."""
+def trace_members(starts: DataFrame, members: DataFrame, depth: int | None = None) -> DataFrame:
+    """Walk a chain of members from a type, up to depth links or to its end: (id, type, chain array) to (id, type, steps, confidence)."""
     state = starts.select("id", F.col("type"), "chain", F.lit(0).alias("steps"), F.lit(True).alias("on"))
-    for _ in range(depth):
+    done = 0
+    while done != depth:
         name = F.get("chain", F.col("steps"))
         asked = state.withColumn("_m", F.when(F.col("on"), name))
         step = members.select(F.col("base_type").alias("type"), F.col("member_name").alias("_m"), F.col("member_type").alias("_t"))
         met = asked.join(step, ["type", "_m"], "left")
         go = F.col("_t").isNotNull()
         state = met.select("id", F.coalesce("_t", "type").alias("type"), "chain", (F.col("steps") + go.cast("int")).alias("steps"), (F.col("on") & go).alias("on"))
+        done += 1
+        if depth is None:
+            state = cut(state)
+            if not state.where("on").take(1):
+                break
     return state.select("id", "type", "steps", F.round(F.col("steps") / F.size("chain"), 6).alias("confidence"))
 
 
