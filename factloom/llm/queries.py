@@ -41,9 +41,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import materialise
     from .gif import media_column, media_digests
 
-    return media_digests(media_column(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return media_digests(materialise(media_column(table(spark, sf_dir, "documents", "doc_id", "text")), "media"))
 
 
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
