@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Narrow rows to a file where a table's file count is chosen by its rows.
+ROWS_A_FILE = 250_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,11 +44,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return uri
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, rows: int | None = None, compression: str = "snappy") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    rows, if given, is about how many narrow rows there are: they are then dealt
+    to as many files as that needs, since a small file costs more than its rows.
+    """
     spark = df.sparkSession
     uri = scratch(spark, name) + "/table"
-    df.write.parquet(uri)
+    if rows is not None:
+        df = df.repartition(rows // ROWS_A_FILE + 1)
+    df.write.option("compression", compression).parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 

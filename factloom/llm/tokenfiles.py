@@ -1,18 +1,20 @@
 """Token ids in binary files: frequency-ranked ids in byte-aligned variable-length coding.
 
-A file holds the documents of a range of doc_id, ascending, in blocks:
+The folder holds one table, ranks.tbl: the token id of each rank as uint32, the
+most frequent id of the whole corpus first (ties by id). A token file holds the
+documents of a range of doc_id, ascending, in blocks:
 
-    magic b"FLTOK1\\0\\0", then for each block:
-    uint32 documents, uint32 ids, uint32 ranks, uint32 bytes of data
+    magic b"FLTOK2\0\0", then for each block:
+    uint32 documents, uint32 ids, uint32 bytes of data
     int64 doc_id for each document, uint32 ids of each document
-    uint32 the token id of each rank, the most frequent of the block first
     control bytes: two bits for each id, four to a byte, lowest first: bytes of its rank less one
     data bytes: the ranks, little-endian, in one to four bytes
 
-All integers are little-endian. Each block ranks its own ids, so one pass over
-the texts is enough and no table of the whole corpus is needed. Decoding looks
-each control byte up in a table of four lengths, adds them up to places, and
-gathers the data bytes at those places.
+All integers are little-endian. The texts are tokenised once, into a table of
+ids; one pass over it counts the ids (a table bounded by the vocabulary), and
+the ids, not the texts, are dealt out by doc_id. Decoding looks each control
+byte up in a table of four lengths, adds them up to places, and gathers the
+data bytes at those places.
 
 Files are written through a pyarrow file system of the shared folder, under a
 name of the attempt's own; only the files named in the returned manifest count,
@@ -20,8 +22,8 @@ so a task that runs twice leaves at most an unread file.
 
 Defined results: a null text is empty and gets the end id only; a null doc_id
 comes last and is read back as null; rows with equal doc_id are all kept, in
-the order of their texts; an empty table gives no file; extra columns are not
-read.
+the order of a hash of their ids, and need not meet in one task; an empty table
+gives no token file; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,33 +41,33 @@ from pyspark.sql import functions as F
 from .common import batches, filesystem, materialise, scratch, texts
 from .words import words
 
-MAGIC = b"FLTOK1\0\0"
+MAGIC, RANKS = b"FLTOK2\0\0", "ranks.tbl"
 #: A block is closed at so many ids, a file at so many bytes.
 BLOCK_IDS, FILE_BYTES = 1 << 20, 128 << 20
 NULL_ID = -(1 << 63)
-HEAD = struct.Struct("<4I")
+HEAD = struct.Struct("<3I")
 #: For each control byte, the lengths of its four ids.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
 
 
-def encode_block(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
-    flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-    n = len(flat)
-    seen, first_seen, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    order = np.lexsort((seen, -counts))
-    rank_of = np.empty(len(seen), "<u4")
-    rank_of[order] = np.arange(len(seen))
-    ranks = rank_of[first_seen]
-    raw = ranks.view(np.uint8).reshape(-1, 4)
-    length = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    data = raw[np.arange(4) < length[:, None]]
+def encode_block(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, rank_of: np.ndarray) -> bytes:
+    n = len(ids)
+    ranks = rank_of[ids]
+    length = np.ones(n, np.uint8)
+    for k in (1, 2, 3):
+        length += ranks >= 1 << 8 * k
+    begin = np.cumsum(length, dtype=np.int64) - length
+    data = np.empty(int(length.sum(dtype=np.int64)), np.uint8)
+    data[begin] = ranks.astype(np.uint8)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(length > k)
+        if not len(more):
+            break
+        data[begin[more] + k] = (ranks[more] >> np.uint32(8 * k)).astype(np.uint8)
     codes = np.zeros(-(-n // 4) * 4, np.uint8)
     codes[:n] = length - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    return b"".join([
-        HEAD.pack(len(doc_ids), n, len(seen), len(data)), np.array(doc_ids, "<i8").tobytes(),
-        np.array([len(x) for x in ids], "<u4").tobytes(), seen[order].astype("<u4").tobytes(), control.astype(np.uint8).tobytes(), data.tobytes(),
-    ])
+    return b"".join([HEAD.pack(len(doc_ids), n, len(data)), doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), control.tobytes(), data.tobytes()])
 
 
 def decode_ids(n: int, control: np.ndarray, data: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -82,20 +84,71 @@ def decode_ids(n: int, control: np.ndarray, data: np.ndarray, table: np.ndarray)
     return table[rank]
 
 
-def read_blocks(f) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def read_blocks(f, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(doc_ids, ids of each document, ids) for each block of an open file."""
     if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
     while head := f.read(HEAD.size):
-        docs, n, kinds, size = HEAD.unpack(head)
+        docs, n, size = HEAD.unpack(head)
         doc_ids = np.frombuffer(f.read(8 * docs), "<i8")
         counts = np.frombuffer(f.read(4 * docs), "<u4")
-        table = np.frombuffer(f.read(4 * kinds), "<u4")
         control = np.frombuffer(f.read(-(-n // 4)), np.uint8)
         data = np.frombuffer(f.read(size), np.uint8)
         yield doc_ids, counts, decode_ids(n, control, data, table)
 
 
+def binaries(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All the ids of a column of binaries, and how many each row has."""
+    wide = {pa.binary(): np.int32, pa.large_binary(): np.int64}[column.type]
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, wide)
+    flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(flat).view(kind), np.diff(ends) // np.dtype(kind).itemsize
+
+
+def tokenised(docs: DataFrame, tokenizer: str, end: int) -> tuple[DataFrame, str]:
+    """A written table (doc_id, tie, ids) of little-endian ids, end last, and their hash; and the kind of its integers."""
+    from xxhash import xxh64_intdigest
+
+    kind = "<u2" if max(words(tokenizer).size - 1, end) < 1 << 16 else "<u4"
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = words(tokenizer)
+        tail = np.array([end], kind).tobytes()
+        for batch in source:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                ids = [x.astype(kind).tobytes() + tail for x in w.ids(list(texts(part, 1)))]
+                tie = np.array([xxh64_intdigest(x) for x in ids], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tie), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tie long, ids binary")
+    return materialise(made, "token-ids", compression="zstd"), kind
+
+
+def frequency_ranks(ids: DataFrame, kind: str, size: int) -> np.ndarray:
+    """The token id of each rank, the most frequent first."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in source:
+            flat, _ = binaries(batch.column(0), kind)
+            total += np.bincount(flat, minlength=size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
+
+    # at most as many rows as the vocabulary has entries
+    found = ids.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, np.int64)
+    counts[found["id"].to_numpy(int)] = found["n"].to_numpy()
+    return np.argsort(-counts, kind="stable").astype("<u4")
+
+
+def rank_table(fs, root: str) -> np.ndarray:
+    with fs.open_input_stream(f"{root}/{RANKS}") as f:
+        return np.frombuffer(f.read(), "<u4")
+
+
 MANIFEST = pa.schema([("part", pa.int32()), ("file", pa.string()), ("number", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())])
 
 
@@ -107,61 +160,58 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, name: str = "to
     """
     spark = docs.sparkSession
     folder = scratch(spark, name)
+    ids, kind = tokenised(docs, tokenizer, end)
+    table = frequency_ranks(ids, kind, max(words(tokenizer).size, end + 1))
+    fs, root = filesystem(folder)
+    with fs.open_output_stream(f"{root}/{RANKS}") as f:
+        f.write(table.tobytes())
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         fs, root = filesystem(folder)
-        w = words(tokenizer)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        out, file, made, number, total, count = None, "", 0, 0, 0, 0
+        out, file, made, number, total, documents = None, "", 0, 0, 0, 0
         rows: list[tuple] = []
-        doc_ids: list[int] = []
-        held: list[np.ndarray] = []
-        waiting = 0
-
-        def flush() -> None:
-            nonlocal out, file, made, number, total, count, doc_ids, held, waiting
-            if not doc_ids:
-                return
-            if out is None:
-                file, made, total, count = f"part-{part:06d}-{number:04d}-{attempt}.tok", 0, 0, 0
-                out = fs.open_output_stream(f"{root}/{file}")
-                out.write(MAGIC)
-            block = encode_block(doc_ids, held)
-            out.write(block)
-            made, total, count = made + len(block), total + waiting, count + len(doc_ids)
-            doc_ids, held, waiting = [], [], 0
-            if made >= file_bytes:
-                close()
+        rank_of: np.ndarray | None = None
 
         def close() -> None:
             nonlocal out, number
             if out is not None:
                 out.close()
-                rows.append((part, file, number, count, total))
+                rows.append((part, file, number, documents, total))
                 out, number = None, number + 1
 
-        tail = np.array([end], "<u4")
         for batch in source:
-            found = list(texts(batch, 1))
-            step = 256
-            for k in range(0, len(found), step):
-                for i, ids in zip(batch.column(0).slice(k, step).to_pylist(), w.ids(found[k : k + step]), strict=True):
-                    doc_ids.append(NULL_ID if i is None else i)
-                    held.append(np.concatenate([ids, tail]))
-                    waiting += len(ids) + 1
-                    if waiting >= block_ids:
-                        flush()
-        flush()
+            if rank_of is None:
+                table = rank_table(fs, root)
+                rank_of = np.empty(len(table), "<u4")
+                rank_of[table] = np.arange(len(table))
+            flat, counts = binaries(batch.column(2), kind)
+            doc_ids = batch.column(0).fill_null(NULL_ID).to_numpy()
+            ends = np.cumsum(counts, dtype=np.int64)
+            a = 0
+            while a < len(counts):
+                before = int(ends[a] - counts[a])
+                b = max(a + 1, int(np.searchsorted(ends, before + block_ids, "right")))
+                if out is None:
+                    file, made, total, documents = f"part-{part:06d}-{number:04d}-{attempt}.tok", 0, 0, 0
+                    out = fs.open_output_stream(f"{root}/{file}")
+                    out.write(MAGIC)
+                block = encode_block(doc_ids[a:b], counts[a:b], flat[before : int(ends[b - 1])], rank_of)
+                out.write(block)
+                made, total, documents = made + len(block), total + int(ends[b - 1]) - before, documents + b - a
+                if made >= file_bytes:
+                    close()
+                a = b
         close()
         if rows:
             yield batches(MANIFEST, rows)
 
-    order = [F.col("doc_id").asc_nulls_last()]
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
+    dealt = ids.repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     manifest = dealt.mapInArrow(run, "part int, file string, number int, documents long, ids long")
-    return folder, materialise(manifest, "token-manifest")
+    return folder, materialise(manifest.repartition(1), "token-manifest")  # one row a file
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -179,11 +229,13 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
+        table = None
         for batch in source:
+            table = rank_table(fs, root) if table is None else table
             for file, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at = begin
                 with fs.open_input_stream(f"{root}/{file}") as f:
-                    for doc_ids, counts, ids in read_blocks(f):
+                    for doc_ids, counts, ids in read_blocks(f, table):
                         ends = np.cumsum(counts, dtype=np.int64)
                         starts = ends - counts
                         raw = memoryview(ids.astype("<u4").tobytes())

@@ -17,17 +17,25 @@ import re
 
 import numpy as np
 
-#: The memo is emptied when it holds so many segments; so many new ones are encoded in a call.
-MEMO, CALL = 600_000, 20_000
+#: A generation of the memo holds so many segments; so many new ones are encoded in a call.
+MEMO, CALL = 400_000, 20_000
 #: Letters that composition leaves alone and lower-casing maps one to one.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+").fullmatch
 CLOSING = ".,;:!?"
-#: A text of only these is lower-cased as a whole; its pre-tokens are its words, points and commas.
+#: A text or line of only these is lower-cased as a whole; its pre-tokens are its words, points and commas.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ \\n\\t.,]*").fullmatch
 #: So many pre-tokens make one text for the library.
 JOINED = 128
 
 
+def words_only(text: str) -> bool:
+    return bool(PLAIN(text)) and not (".." in text or ",," in text or ".," in text or ",." in text)
+
+
+def words_and_marks(text: str) -> list[str]:
+    return text.lower().replace(".", " . ").replace(",", " , ").split()
+
+
 class Words:
     def __init__(self, path: str, special: bool = True):
         """special: whether special tokens' strings in a text become their ids, the library's default."""
@@ -42,11 +50,12 @@ class Words:
         steps = spec["pre_tokenizer"].get("pretokenizers", []) if spec.get("pre_tokenizer") else []
         first = steps[0] if steps else {}
         drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
-        plain = not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
+        plain = not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
         kinds = {n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])}
         added_space = bool(len(steps) > 1 and steps[1].get("add_prefix_space"))
         self.by_segment = drops and plain and kinds <= {"NFC", "Replace", "Lowercase"} and not added_space
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         end = spec["model"].get("end_of_word_suffix")
         pattern = first.get("pattern", {}).get("Regex", "")
         self.by_word = self.by_segment and bool(end) and pattern.endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
@@ -69,15 +78,20 @@ class Words:
 
     def split(self, text: str) -> list[str]:
         """Pieces of the text whose ids don't depend on their neighbours."""
-        if self.by_word and PLAIN(text) and not (".." in text or ",," in text or ".," in text or ",." in text):
-            return text.lower().replace(".", " . ").replace(",", " , ").split()
-        return text.split(" ")
+        if not self.by_word:
+            return text.split(" ")
+        if words_only(text):
+            return words_and_marks(text)
+        found: list[str] = []
+        for line in text.split("\n"):
+            found += words_and_marks(line) if words_only(line) else line.split(" ")
+        return found
 
     def learn(self, new: list[str]) -> None:
         """Put new segments into the memo."""
         if self.by_word:
-            # a lower-case ASCII word is its own pre-token
-            whole = [s for s in new if s.isascii() and s.isalpha() and s.islower()]
+            # a lower-case word is its own pre-token
+            whole = [s for s in new if s.isalpha() and s.islower() and (s.isascii() or LATIN(s))]
             held = set(whole)
             new = [s for s in new if s not in held]
             split = [self.pre_tokens(s) for s in new]
@@ -109,13 +123,18 @@ class Words:
         if not self.by_segment:
             return [np.array(e.ids, "<u4") for e in self.library.encode_batch(texts, add_special_tokens=False)]
         split = [self.split(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
+        if len(self.memo) > MEMO:  # a segment that comes again is carried over from the last generation
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         seen: set[str] = set()
         for s in split:
             seen.update(s)
-        self.learn([s for s in seen if s not in memo])
+        new = [s for s in seen if s not in memo]
+        again = [s for s in new if s in older]
+        if again:
+            memo.update(zip(again, map(older.__getitem__, again), strict=True))
+            new = [s for s in new if s not in older]
+        self.learn(new)
         return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
 
 

@@ -1,6 +1,8 @@
 import hashlib
+import io
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -65,24 +67,52 @@ def test_words_agree_with_the_library(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=40), min_size=1, max_size=8))
-def test_blocks_round_trip(lists):
-    import io
-
-    block = tokenfiles.encode_block(list(range(len(lists))), [np.array(x, "<u4") for x in lists])
-    ((ids, counts, flat),) = tokenfiles.read_blocks(io.BytesIO(tokenfiles.MAGIC + block))
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 69_999)), max_size=40), min_size=1, max_size=8), st.integers(0, 9))
+def test_blocks_round_trip(lists, seed):
+    table = np.random.default_rng(seed).permutation(70_000).astype("<u4")
+    doc_ids, sizes = np.arange(len(lists)), np.array([len(x) for x in lists])
+    block = tokenfiles.encode_block(doc_ids, sizes, np.array([y for x in lists for y in x], "<u4"), inverse(table))
+    ((ids, counts, flat),) = tokenfiles.read_blocks(io.BytesIO(tokenfiles.MAGIC + block), table)
     assert counts.tolist() == [len(x) for x in lists] and ids.tolist() == list(range(len(lists)))
     assert flat.tolist() == [y for x in lists for y in x]
 
 
-def test_wide_ranks():
-    flat = np.arange(70_000, dtype="<u4")
-    import io
+def inverse(table):
+    rank_of = np.empty(len(table), "<u4")
+    rank_of[table] = np.arange(len(table))
+    return rank_of
+
 
-    ((_, _, back),) = tokenfiles.read_blocks(io.BytesIO(tokenfiles.MAGIC + tokenfiles.encode_block([0], [flat])))
+def test_wide_ranks():
+    flat = table = np.arange((1 << 24) + 300, dtype="<u4")[::-1].copy()
+    flat = flat[::991]
+    block = tokenfiles.encode_block(np.array([0]), np.array([len(flat)]), flat, inverse(table))
+    ((_, _, back),) = tokenfiles.read_blocks(io.BytesIO(tokenfiles.MAGIC + block), table)
     assert np.array_equal(back, flat)
 
 
+def test_ranks_are_of_the_whole_corpus(spark):
+    rows = [(i, t) for i, t in enumerate(["the rain", "the the in", "é " * 50, "x " * 20])]
+    ids, kind = tokenfiles.tokenised(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, 2)
+    lib = loaded_words(WORDS).library
+    seen = Counter(i for _, t in rows for i in [*lib.encode(t, add_special_tokens=False).ids, 2])
+    table = tokenfiles.frequency_ranks(ids, kind, lib.get_vocab_size())
+    assert table[: len(seen)].tolist() == sorted(seen, key=lambda i: (-seen[i], i))
+    assert sorted(table.tolist()) == list(range(lib.get_vocab_size()))
+
+
+def test_one_document_id_for_all_rows(spark):
+    r = random.Random(8)
+    rows = [(None if i % 2 else 7, " ".join(r.choices(["the", "rain", "in"], k=r.randint(0, 9)))) for i in range(400)] + [(7, "x" * 300_000)]
+    folder, manifest = tokenfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 2)
+    got = tokenfiles.read_token_files(spark, folder, manifest).orderBy("start").collect()
+    lib = loaded_words(WORDS).library
+    want = Counter((i, zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((x["doc_id"], x["ids_crc32"]) for x in got) == want
+    assert [x["doc_id"] for x in got] == [7] * 201 + [None] * 200
+    assert [x["start"] for x in got] == np.cumsum([0, *[x["n_tokens"] for x in got[:-1]]]).tolist()
+
+
 def test_token_files(spark):
     folder, manifest = tokenfiles.write_token_files(docs(spark), WORDS, 2, block_ids=20, file_bytes=300)
     assert manifest.count() >= 2
