@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: A word is a longest run of characters other than the six ASCII spaces.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Narrow rows to a file where a table's file count is chosen by its rows.
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 100_000
 
 
 def shared_root(spark: SparkSession) -> str:

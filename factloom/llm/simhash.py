@@ -35,12 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import materialise, partitions, texts
 
 SEED = 42
 SMALL, LARGE = 64, 4096
-#: Links to a task and file when components are written.
-LINKS_A_FILE = 200_000
 #: Hashes whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -211,9 +209,9 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 4, small: int = SMALL,
             if len(a):
                 yield table(a, b, 0)
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings(nodes, tables).repartition(n, "key").sortWithinPartitions("key")
-    found = materialise(dealt.mapInArrow(run, "a long, b long, far int"), "simhash-links")
+    dealt = postings(nodes, tables).repartition(partitions(nodes), "key").sortWithinPartitions("key")
+    # links are far fewer than postings: a few files for all the tasks, not one each
+    found = materialise(dealt.mapInArrow(run, "a long, b long, far int"), "simhash-links", rows=nodes.count())
     near = found.where("far = 0").select("a", "b")
     far = found.where("far > 0").select(F.col("far").alias("t"), F.col("a").alias("node"), F.col("b").alias("print")).distinct()
     return near.unionByName(meeting(far, bits)) if found.where("far > 0").take(1) else near
@@ -237,27 +235,31 @@ def meeting(far: DataFrame, bits: int) -> DataFrame:
     return points.join(lowest, ["t", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node of its component) of every node with a link (a, b)."""
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, label (the smallest node of its component) of every node with a link (a, b).
 
-    # few links make few files; a file for each shuffle partition and round would be most of the work
-    parts = edges.count() // LINKS_A_FILE + 1
+    rows is about how many links there are; without it they are written and counted first.
+    """
 
     def measured(e: DataFrame) -> tuple[int, int]:
         h = F.xxhash64("a", "b").cast("decimal(20,0)")
         return e.agg(F.count("*"), F.sum(h)).first()
 
-    now = materialise(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct().coalesce(parts), "links")
+    if rows is None:
+        edges = materialise(edges, "edges")
+        rows = edges.count()
+    # few links make few files; a file for each shuffle partition and round would be most of the work
+    now = materialise(edges.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "links", rows)
     state = measured(now)
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large.coalesce(parts), "links")
+        large = materialise(large, "links", state[0])
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        now = materialise(small.where("a <> b").distinct().coalesce(parts), "links")
+        now = materialise(small.where("a <> b").distinct(), "links", state[0])
         before, state = state, measured(now)
         if state == before:
             break
@@ -265,16 +267,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(top)
 
 
+def labels_of(edges: DataFrame, rows: int, name: str) -> DataFrame:
+    """components() of about rows links, written at each step."""
+    edges = materialise(edges, f"{name}-edges", rows)
+    n = edges.count()
+    return materialise(components(edges, n), name, n)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, tables: int = 1, bits: int = 4) -> DataFrame:
     """One row a document: doc_id, text_hash, prints, component_id and kept.
 
     component_id is the smallest doc_id of the documents reachable by links;
     kept has the doc_id and text_hash of the document that stands for them.
     """
-    known = materialise(fingerprints(docs, shingle, tables), "simhash")
+    n = docs.count()
+    known = materialise(fingerprints(docs, shingle, tables), "simhash", n)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash"))
-    nodes = materialise(known.groupBy("node").agg(F.first("prints").alias("prints"), best.alias("best")), "simhash-nodes")
-    labels = materialise(components(links(nodes, tables, bits)), "simhash-labels")
+    nodes = materialise(known.groupBy("node").agg(F.first("prints").alias("prints"), best.alias("best")), "simhash-nodes", n)
+    labels = labels_of(links(nodes, tables, bits), n, "simhash-labels")
     labelled = nodes.select("node", "best").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # only components of several nodes need to be joined again
     several = labels.select("label").distinct()
