@@ -11,11 +11,14 @@ empty sketch, which is equal to itself (likeness 1) and unlike any other (0);
 equal texts have equal sketches; extra columns are not read.
 
 edited() orders the documents by descending doc_id (null last; rows with equal
-doc_id by the text's hash) without gathering them: documents are cut by doc_id
-into cells of some hundred rows, each cell's first row is also sent to the cell
-before it as a guest, and the next document is found within the cell. Texts are
-shuffled once. The table of cells' first rows has at most MAX_CELLS short rows,
-and is broadcast.
+doc_id by the text's hash) without gathering them. About every CELL_ROWS-th of
+the order's keys, drawn by a hash, bounds a cell; a row finds its cell by a
+binary search in the bounds, so outliers, wide ranges and repeated ids fill no
+cell more than others. Each cell's first row is also sent to the cell before it
+as a guest, and the next document is found within the cell. Texts are shuffled
+once. There are about MAX_CELLS bounds of 24 bytes at most, whatever the input;
+rows that are equal in doc_id and text are one key and meet in one cell, which
+is sorted, not held.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 K, WIDTH = 64, 5
-CELL_ROWS, MAX_CELLS, NULL_CELLS = 256, 1 << 20, 2048
+CELL_ROWS, MAX_CELLS, SEED = 256, 1 << 16, 42
 
 
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
@@ -80,25 +83,54 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+KEY = ["_null", "_desc", "_h"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text with the order's key: null last, then descending doc_id (whose complement can't overflow), then the text's hash."""
+    known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    desc = F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return known.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("_null"), desc.alias("_desc"), F.xxhash64("text").alias("_h"))
+
+
+def bounds_of(known: DataFrame, rows: int) -> list[tuple[int, int, int]]:
+    """Keys in order, about one for each CELL_ROWS rows, and about MAX_CELLS at most."""
+    every = max(CELL_ROWS, -(-rows // MAX_CELLS))
+    drawn = F.pmod(F.xxhash64(*KEY, F.lit(SEED)), F.lit(every)) == 0
+    return sorted(map(tuple, known.select(*KEY).where(drawn).distinct().collect()))
+
+
+def cell(bounds: list[tuple[int, int, int]]) -> Column:
+    """How many of the bounds a row's key has reached, by binary search."""
+
+    def listed(place: int, kind: str) -> Column:  # one literal, folded into an array
+        return F.split(F.lit(",".join(str(b[place]) for b in bounds)), ",").cast(f"array<{kind}>")
+
+    null, desc, h = listed(0, "int"), listed(1, "bigint"), listed(2, "bigint")
+
+    def reached(i: Column) -> Column:
+        n, d = F.get(null, i), F.get(desc, i)
+        equal = (n == F.col("_null")) & ((d < F.col("_desc")) | ((d == F.col("_desc")) & (F.get(h, i) <= F.col("_h"))))
+        return F.coalesce((n < F.col("_null")) | equal, F.lit(False))
+
+    if not bounds:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(reached(at + step - 1), at + step).otherwise(at))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sketch, next_text, next_sketch in the order of descending doc_id; after the last comes the first."""
-    known = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = known.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    cells = max(1, min(MAX_CELLS, -(-n // CELL_ROWS)))
-    width = ((high or 0) - (low or 0)) // cells + 1
-    h = F.xxhash64("text")
-    of_null = F.lit(cells) + F.shiftright(h, 53) + NULL_CELLS // 2
-    cell = F.when(F.col("doc_id").isNull(), of_null).otherwise(F.floor((F.lit(high or 0) - F.col("doc_id")) / width))
-    placed = known.withColumn("_h", h).withColumn("_cell", cell.cast("long"))
-    first = F.min(F.struct((-F.col("doc_id")).alias("d"), F.col("_h").alias("h")))
-    heads = placed.groupBy("_cell").agg(first.alias("_first"))
-    everywhere = Window.orderBy("_cell")
+    known = keyed(docs)
+    placed = known.withColumn("_cell", cell(bounds_of(known, docs.count())))
+    heads = placed.groupBy("_cell").agg(F.min(F.struct(*KEY)).alias("_first"))
+    everywhere = Window.orderBy("_cell")  # of one row a cell
     before = F.coalesce(F.lag("_cell").over(everywhere), F.max("_cell").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = materialise(heads.withColumn("_before", before), "sketch-cells")
-    is_first = F.col("_first.d").eqNullSafe(-F.col("doc_id")) & (F.col("_first.h") == F.col("_h"))
+    is_first = F.col("_first") == F.struct(*KEY)
     at_home = F.struct(F.col("_cell").alias("cell"), F.lit(0).alias("guest"))
     away = F.struct(F.col("_before").alias("cell"), F.lit(1).alias("guest"))
-    sent = placed.withColumn("sketch", sketch(F.col("text"))).join(F.broadcast(heads), "_cell")
+    sent = placed.withColumn("sketch", sketch(F.col("text"))).join(F.broadcast(heads), "_cell")  # about MAX_CELLS short rows at most
     sent = sent.select("doc_id", "text", "_h", "sketch", F.explode(F.when(is_first, F.array(at_home, away)).otherwise(F.array(at_home))).alias("_to"))
     # plain columns and one projection, or each window would deal the texts out again
     sent = sent.select("doc_id", "text", "_h", "sketch", F.col("_to.cell").alias("_in"), F.col("_to.guest").alias("_guest"))

@@ -1,10 +1,11 @@
+import hashlib
 import random
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from factloom.llm import simhash, sketches
+from factloom.llm import queries, simhash, sketches
 
 SCHEMA = "doc_id long, text string, node string"
 
@@ -150,10 +151,50 @@ def test_sketches_merge(spark):
 def test_many_cells(spark, monkeypatch):
     monkeypatch.setattr(sketches, "CELL_ROWS", 3)
     rows = [(i * i, text(i, 9)) for i in range(60)] + [(None, text(i, 9)) for i in range(100, 130)]
-    got = {(r["doc_id"], r["text"]): r["next_text"] for r in sketches.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    numbered = sorted([r for r in rows if r[0] is not None], key=lambda r: -r[0])
+    rows += [(10**15, "outlier"), (-(2**63), "lowest"), (2**63 - 1, "highest"), (5, "a b"), (5, "c d"), (5, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = sketches.keyed(docs)
+    cells = [r["n"] for r in known.select(sketches.cell(sketches.bounds_of(known, len(rows))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()]
+    assert len(cells) > 15 and max(cells) < 20
+    found = sketches.with_next(docs).collect()
+    got = {(r["doc_id"], r["text"]): r["next_text"] for r in found}
+    assert len(found) == len(rows)
+    numbered = sorted([r for r in rows if r[0] is not None and r[0] != 5], key=lambda r: -r[0])
+    assert numbered[0][1] == "highest" and numbered[-1][1] == "lowest"
     for a, b in zip(numbered, numbered[1:], strict=False):
-        assert got[a] == b[1]
+        if (a[0], b[0]) != (9, 4):  # the rows of id 5 stand between
+            assert got[a] == b[1]
     nulls = {t for i, t in rows if i is None}
-    assert got[numbered[-1]] in nulls and len(got) == 90
+    assert got[numbered[-1]] in nulls
     assert sum(got[(None, t)] == numbered[0][1] for t in nulls) == 1
+    fives = sorted((r["text"], r["next_text"]) for r in found if r["doc_id"] == 5)
+    assert sum(t == n == "a b" for t, n in fives) == 1 and [t for t, _ in fives] == ["a b", "a b", "c d"]
+
+
+def test_equal_rows_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "CELL_ROWS", 2)
+    rows = [(None, None)] * 30 + [(3, "x")] * 30
+    got = sketches.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["next_text"] for r in got) == [""] * 30 + ["x"] * 30
+
+
+def test_the_query_prints_sketches(spark, tmp_path):
+    rows = [(i, text(i // 2, 30 + i), "c", "l", 9) for i in range(40)] + [(100, None, None, None, None), (101, "", None, None, 0), (102, "x " * 30_000, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, sketch string, lang string, _h long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_bottom_k"](spark, str(tmp_path)).collect()}
+    want = edited_brute([r[:2] for r in rows])
+    assert len(got) == len(rows)
+    for i, (n, e, t, u) in want.items():
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(e.encode()).hexdigest())
+        a, b = grams(t), grams(u)
+        if len(a | b) <= 64:
+            assert abs(r["near_next"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+            c = grams(e)
+            if a and len(a | c) <= 64 and len(c) < 64:
+                assert abs(r["contained_in_edited"] - len(a & c) / len(a)) < 1e-9
+        assert len(r["fingerprint"]) == 16 * min(64, len(a))
+    assert got[100]["fingerprint"] == got[101]["fingerprint"] == ""
+    empty = spark.createDataFrame([], "doc_id long, text string").write
+    empty.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.QUERIES["op7_bottom_k"](spark, f"{tmp_path}/none").count() == 0
