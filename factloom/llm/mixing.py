@@ -12,11 +12,14 @@ rest takes documents in the order of a seeded hash until its words are reached.
 The hash's top 12 bits make a histogram of words per source, which finds the
 bucket in which the rest ends; only that bucket's documents (one of 4096 parts
 of a source) are then put in order. No source is ever gathered in one task.
+Rows of equal doc_id and text share a hash; where the rest ends among such
+copies, they are numbered (by range and a count for each range, so that no
+task gathers them) and as many are taken as fit.
 
 Defined results: a null text has size 0; a null source is a source of its own,
-ordered last; repeated rows have the same hash and are taken together; an empty
-table gives an empty result; a source without words has target 0. Only the
-named columns are read, so others may be called anything.
+ordered last; an empty table gives an empty result; a source without words has
+target 0; of rows that differ in nothing, which one is taken means nothing.
+Only the named columns are read, so others may be called anything.
 """
 
 from __future__ import annotations
@@ -80,19 +83,39 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float = 2.0, size:
 
 @dataclass
 class Plan:
-    """One row a source: source, source_size, weight, target, whole, cut_bucket, cut_hash."""
+    """One row a source: source, source_size, weight, target, whole, cut_bucket, cut_hash, fit.
+
+    Documents before the cut hash are taken once more, and fit of those at it.
+    partly: whether anywhere some but not all of several rows at a cut hash fit.
+    """
 
     table: DataFrame
     n: int
     longest: int
+    partly: bool
 
     def attach(self, docs: DataFrame) -> DataFrame:
         """docs (with source, _size and _hash) with the plan's columns and repeats."""
         plan = self.table.withColumnRenamed("source", "_source")
         small = self.n <= BROADCAST_SOURCES and self.longest <= 1024
         joined = docs.join(F.broadcast(plan) if small else plan, docs["source"].eqNullSafe(plan["_source"])).drop("_source")
-        early = (bucket() < F.col("cut_bucket")) | ((bucket() == F.col("cut_bucket")) & (F.col("_hash") <= F.col("cut_hash")))
-        return joined.withColumn("repeats", F.col("whole") + F.coalesce(early, F.lit(False)).cast("long"))
+        early = (bucket() < F.col("cut_bucket")) | ((bucket() == F.col("cut_bucket")) & (F.col("_hash") < F.col("cut_hash")))
+        early, at_cut = F.coalesce(early, F.lit(False)), F.coalesce(F.col("_hash") == F.col("cut_hash"), F.lit(False))
+        if not self.partly:
+            return joined.withColumn("repeats", F.col("whole") + (early | (at_cut & (F.col("fit") > 0))).cast("long"))
+        others = joined.where(~at_cut).withColumn("repeats", F.col("whole") + early.cast("long"))
+        at_cut = numbered(joined.where(at_cut), docs.columns)
+        return others.unionByName(at_cut.withColumn("repeats", F.col("whole") + (F.col("_number") < F.col("fit")).cast("long")).drop("_number"))
+
+
+def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds _number, from 0 within each source, in the order of a hash of the columns."""
+    # the last key only parts rows that are equal in all columns, so that they needn't meet
+    keys = [F.col("source").asc_nulls_last(), F.xxhash64(*columns), F.col("_salt")]
+    ranked = rank_globally(rows.withColumn("_salt", F.monotonically_increasing_id()), keys, "_rank", "mix-copies").drop("_salt")
+    begin = ranked.groupBy(F.col("source").alias("_source")).agg(F.min("_rank").alias("_first"))
+    met = ranked.join(begin, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return met.withColumn("_number", F.col("_rank") - F.col("_first")).drop("_rank", "_first")
 
 
 def plan(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0) -> Plan:
@@ -129,11 +152,12 @@ def plan(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
         narrow.select(*key, "_size", "_hash", bucket().alias("_bucket"))
         .join(small, ["_s", "_null", "_bucket"])
         .groupBy("_s", "_null", "_hash", "_before", "_rest")
-        .agg(F.sum("_size").alias("_words"))
+        .agg(F.sum("_size").alias("_words"), F.count("*").alias("_n"))
         .withColumn("_upto", F.col("_before") + F.sum("_words").over(by_hash))
-        .where(F.col("_upto") - F.col("_words") / 2 <= F.col("_rest"))
+        .where(F.col("_upto") > F.col("_rest"))
         .groupBy("_s", "_null")
-        .agg(F.max("_hash").alias("cut_hash"))
+        .agg(F.min(F.struct("_hash", (F.col("_rest") - (F.col("_upto") - F.col("_words"))).alias("left"), (F.col("_words") / F.col("_n")).alias("each"), "_n")).alias("_cut"))
+        .select("_s", "_null", F.col("_cut._hash").alias("cut_hash"), F.round(F.col("_cut.left") / F.col("_cut.each")).cast("long").alias("fit"), F.col("_cut._n").alias("at_cut"))
     )
     table = (
         filled.select("source", *key, "source_size", "weight", "target", "whole")
@@ -141,7 +165,9 @@ def plan(narrow: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share:
         .join(ends, ["_s", "_null"], "left")
         .drop("_s", "_null")
     )
-    return Plan(materialise(table, "mix-plan"), n, longest)
+    table = materialise(table, "mix-plan")
+    partly = bool(table.where("fit > 0 AND fit < at_cut").take(1))
+    return Plan(table.drop("at_cut"), n, longest, partly)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:

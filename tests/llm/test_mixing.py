@@ -1,6 +1,6 @@
 import re
 
-from factloom.llm import mixing
+from factloom.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, source string, size string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +76,25 @@ def test_empty_table_and_no_words(spark):
 def test_budget_beyond_all_caps(spark):
     docs = spark.createDataFrame([(1, "a b", "s", ""), (2, "c", "t", "")], SCHEMA)
     assert {r["taken"] for r in mixing.mix(docs, share=9.0).collect()} == {4, 2}
+
+
+def test_copies_at_the_cut_are_parted(spark):
+    for copies in (1001, 7):
+        equal = [(5, "a b c d e", "hot", None)] * copies
+        docs = spark.createDataFrame(equal + [(i, "w " * (i % 9), "other", "x") for i in range(600)], SCHEMA)
+        got = mixing.mix(docs).collect()
+        taken = sum(r["taken"] for r in got if r["source"] == "hot")
+        (target,) = {r["target"] for r in got if r["source"] == "hot"}
+        assert abs(taken - target) <= 2.5, (taken, target)
+        assert len(got) == copies + 600 and max(r["repeats"] for r in got) <= 2
+        again = mixing.mix(docs.repartition(5)).collect()
+        assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
+        out = mixing.mixed_documents(docs)
+        assert out.columns == docs.columns and out.where("source = 'hot'").count() == taken // 5
+
+
+def test_the_query(spark, tmp_path):
+    spark.createDataFrame(rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op1_mix_sources"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in mixing.mix(spark.createDataFrame(rows(), SCHEMA)).collect())
