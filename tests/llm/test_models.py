@@ -17,20 +17,13 @@ def texts(n=120):
     r = random.Random(4)
     syllables = ["the", "ra", "in", "on", "ti", "é", "q"]
     rows = [(i, " ".join("".join(r.choices(syllables, k=r.randint(1, 3))) for _ in range(r.randint(0, 30))), "c") for i in range(n)]
-    return rows + [(500, None, None), (501, "", None), (502, "日本 İ ▁x ThE", None), (503, "z" * 3000, None), (None, "the rain", None), (7, rows[7][1], None)]
+    return rows + [(500, None, None), (501, "", None), (502, "日本 İ ▁x ThE", None), (503, "z" * 30_000, None), (None, "the rain", None), (7, rows[7][1], None)]
 
 
 def test_forward_sums_all_segmentations():
     p = lattice.pieces(PIECES)
     score = p.start
-    names = {}
-    from sentencepiece import sentencepiece_model_pb2 as pb2
-
-    model = pb2.ModelProto()
-    model.ParseFromString(open(PIECES, "rb").read())
-    kept = [x for x in model.pieces if x.type == 1 and len(x.piece) <= 16 and "▁" not in x.piece[1:]]
-    for i, x in enumerate(kept):
-        names[x.piece] = i
+    names = {x.piece: i for i, x in enumerate(kept_pieces())}
     for word in ["rain", "a", "日q", "tion", "x͸y"]:
         s = "▁" + word
         total = -math.inf
@@ -51,22 +44,61 @@ def test_forward_sums_all_segmentations():
                     logp = -math.inf
                     break
             total = np.logaddexp(total, logp)
-        assert abs(p.log_probabilities([word], score)[0] - total) < 1e-9
+        assert abs(p.spelled([word], score)[0] - total) < 1e-9
+        entry = math.log(0.01)
+        whole, alone = p.log_probabilities([word], score, entry, math.log(0.25))
+        assert abs(whole[0] - np.logaddexp(entry, math.log(0.25) + total)) < 1e-9 and abs(alone[0] - total) < 1e-9
 
 
 def test_em_raises_the_likelihood_and_counts_every_character():
     p = lattice.pieces(PIECES)
     words = sorted({w for _, t, _ in texts() for w in (t or "").lower().split()})
+    words += ["q" * 60, "日本" * 30, "z" * 9000]
     score, last = p.start, -math.inf
+    length = np.array([len(x.piece) for x in kept_pieces()] + [0] * 256)
     for _ in range(3):
-        now = p.log_probabilities(words, score).sum()
+        now = p.spelled(words, score).sum()
         assert now > last
         last = now
         counts = np.zeros(p.n + 256)
-        p.expected(words, score, counts)
+        gain, mass = p.expected(words, score, counts)
+        assert abs(gain - now) < 1e-6 * abs(now) and mass >= len(words)
+        bare = sum(c not in p.chars or p.single[p.chars[c]] < 0 for w in words for c in w)
+        assert abs(counts @ length - sum(len(w) + 1 for w in words) + bare) < 1e-3
+        twice = np.zeros(p.n + 256)
+        p.expected(words, score, twice, lambda places, alone: np.full(len(places), 2.0))
+        assert np.allclose(twice, 2 * counts)
         score = np.log((counts + 1e-9) / (counts + 1e-9).sum())
 
 
+def kept_pieces():
+    from sentencepiece import sentencepiece_model_pb2 as pb2
+
+    model = pb2.ModelProto()
+    model.ParseFromString(open(PIECES, "rb").read())
+    return [x for x in model.pieces if x.type == 1 and len(x.piece) <= 16 and "▁" not in x.piece[1:]]
+
+
+def test_scaled_and_log_recursions_agree(monkeypatch):
+    p = lattice.pieces(PIECES)
+    words = sorted({w for _, t, _ in texts() for w in (t or "").lower().split() if len(w) < 40})
+    one, other = np.zeros(p.n + 256), np.zeros(p.n + 256)
+    a = p.expected(words, p.start, one)
+    monkeypatch.setattr(lattice, "LINEAR", 0)
+    b = p.expected(words, p.start, other)
+    assert np.allclose(one, other) and abs(a[0] - b[0]) < 1e-6
+
+
+def test_long_words_are_spelled_in_runs(monkeypatch):
+    p = lattice.pieces(PIECES)
+    monkeypatch.setattr(lattice, "RUN", 7)
+    word = "therainontherain"
+    runs = ["▁therai", "nonther", "ain"]
+    codes = [np.array([[p.chars[c] for c in r]]) for r in runs]
+    want = sum(p.forward(p.weights(p.edges(c), [], p.start))[0, -1] for c in codes)
+    assert abs(p.spelled([word], p.start)[0] - want) < 1e-9
+
+
 def test_scores(spark):
     rows = texts()
     got = lattice.score_texts(spark.createDataFrame(rows, SCHEMA), PIECES, top=20).collect()
@@ -85,6 +117,21 @@ def test_scores(spark):
         h, tokens, known, total, base = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, tokens, known, total)
         assert abs(r["base_score"] - base) < 1e-6 and -math.inf < r["score"] < 0
+    counts, _ = lattice.word_counts(spark.createDataFrame(rows, SCHEMA))
+    assert {(bytes(r["word"]), r["count"], r["seen"]) for r in counts.collect()} == {
+        (w, c[w], k) for w, k in Counter(w for _, t, _ in rows for w in lower(t)).items()
+    }
+    shares = lattice.Shares(n + 1.0, (lattice.DISCOUNT * len(c) + 1.0) / (n + 1.0))
+    known = list(c)
+    assert abs(np.exp(shares.entry(np.array([c[w] for w in known]))).sum() + shares.left + ends / (n + 1.0) - 1) < 1e-9
+    pieces, trained = lattice.pieces(PIECES), lattice.train(counts, PIECES, shares)
+    for i, t, _ in rows:
+        ws = [w.decode() for w in lower(t)]
+        whole, alone = pieces.log_probabilities(ws, trained, shares.entry(np.array([c[w.encode()] for w in ws])), math.log(shares.left))
+        (r,) = [r for r in got if r["doc_id"] == i][:1]
+        end = math.log(ends / (n + 1.0))
+        assert abs(r["score"] - (whole.sum() + end) / math.log(10)) < 1e-6 * max(1, abs(r["score"]))
+        assert abs(r["spelled_score"] - (alone.sum() + end) / math.log(10)) < 1e-6 * max(1, abs(r["score"]))
     by = {r["doc_id"]: r["score"] for r in got}
     assert abs(by[500] - by[501]) < 1e-12
     wide = {r["doc_id"]: r["score"] for r in lattice.score_texts(spark.createDataFrame(rows, SCHEMA), PIECES).collect()}
