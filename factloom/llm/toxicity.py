@@ -4,11 +4,19 @@
    seeded hash of doc_id; held-out rows never) counts how often each word and
    each word beginning stands in texts of either label. The ones that separate
    best are the voters: lexicon voters (a word) and pattern voters (a beginning
-   of four to six letters), and two density voters (two or four different hits).
-2. A generative label model over the voters' votes estimates each voter's
-   accuracy and the voters' correlations: given the hidden label, votes follow
-   a tree of dependencies (the strongest conditional mutual information), fitted
-   by EM from the labels as a start, with their counts as a prior.
+   of four to six letters), which vote toxic or abstain, and two density voters,
+   which vote toxic for several different hits, clean for none, or abstain.
+2. A generative label model explains the votes alone. Given the hidden label,
+   votes follow a tree of dependencies (the greatest conditional mutual
+   information); its parameters are the label's share, each voter's chances of
+   voting and of being right, and the correlation of each pair in the tree. EM
+   fits all of them and the tree. A voter is taken to be better than chance. The
+   annotations choose the voters and give EM its start; they cast no vote and
+   enter no later round, so noisy ones are overruled. Of features that imply one
+   another (a word and its beginning) one is a voter, and voters that often vote
+   together sit in one committee, which votes if any of them does: a tree can't
+   hold a whole lexicon's correlations, and the largest lexicon would become the
+   label.
 3. A linear classifier is trained on the label model's posterior labels, over
    lexicon and pattern features, and scores every text in full.
 
@@ -39,9 +47,14 @@ from .common import texts
 
 HELD_OUT, MODULUS = 0, 5
 #: Labelled texts used; features of the classifier; voters; least texts of label 1 with a feature, and its least log-likelihood ratio.
-SAMPLE, FEATURES, VOTERS, SUPPORT, LEAST_WORTH = 20_000, 512, 96, 3, 6.0
+SAMPLE, FEATURES, VOTERS, SUPPORT, LEAST_WORTH = 20_000, 512, 256, 3, 6.0
 STEMS = (4, 5, 6)
-ROUNDS = 12
+#: Rounds of EM at most, the change of a posterior that ends them, and the annotations' weight at its start.
+ROUNDS, SETTLED, START = 60, 1e-4, 0.9
+#: How often a vote is right at least; a feature with a larger share of its hits among an earlier voter's is no voter.
+FLOOR, ALIKE = 0.5, 0.8
+#: Least share of the texts of label 1 that a voter hits; voters that share more of the rarer one's hits sit in one committee.
+VOTER_SUPPORT, TOGETHER = 0.02, 0.15
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -60,7 +73,10 @@ def features_of(words: set[str]) -> set[str]:
 
 @dataclass
 class Model:
-    """names[i] adds weights[i] if the text has it; any hit and log of hits have weights too."""
+    """names[i] adds weights[i] if the text has it; any hit and log of hits have weights too.
+
+    accuracies, correlations (with the parent in the tree) and tree are of the committees.
+    """
 
     names: list[str]
     weights: np.ndarray
@@ -68,7 +84,9 @@ class Model:
     log_hits: float
     constant: float
     voters: list[str] = field(default_factory=list)
+    committees: list[str] = field(default_factory=list)
     accuracies: list[float] = field(default_factory=list)
+    correlations: list[float] = field(default_factory=list)
     tree: list[int] = field(default_factory=list)
 
     def prepared(self) -> Model:
@@ -88,19 +106,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def tree_of(votes: np.ndarray, label: np.ndarray) -> list[int]:
-    """Each voter's parent: a greatest spanning tree of the mutual information of two voters given the label."""
-    n, m = votes.shape
-    info = np.zeros((m, m))
-    for w in (label, 1 - label):
-        mass = w.sum() + 1e-9
-        joint = [[(va * w[:, None]).T @ vb / mass for vb in (1 - votes, votes)] for va in (1 - votes, votes)]
-        one = (votes * w[:, None]).sum(0) / mass
-        alone = [1 - one, one]
-        for a in (0, 1):
-            for b in (0, 1):
-                p = joint[a][b] + 1e-9
-                info += mass / n * p * np.log(p / (alone[a][:, None] * alone[b][None, :] + 1e-9) + 1e-12)
+def tree_of(joint: np.ndarray, share: np.ndarray) -> list[int]:
+    """Each voter's parent: a greatest spanning tree of the mutual information of two voters given the label.
+
+    joint: by label, voter, vote, voter, vote: how likely the two votes come together.
+    """
+    m = joint.shape[1]
+    alone = np.einsum("yjaja->yja", joint)
+    p = joint + 1e-9
+    info = np.einsum("y,yjakb->jk", share, p * np.log(p / (alone[:, :, :, None, None] * alone[:, None, None] + 1e-9)))
     parent = [-1] * m
     best, via = info[0].copy(), np.zeros(m, int)
     inside = np.zeros(m, bool)
@@ -115,52 +129,96 @@ def tree_of(votes: np.ndarray, label: np.ndarray) -> list[int]:
     return parent
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, list[float], list[int]]:
-    """Posterior labels of the votes (0 or 1) under a tree of voters for each label, by EM; accuracies; the tree.
+@dataclass
+class Labels:
+    """What the label model infers: posterior labels, and its parameters.
 
-    The known label is a voter of its own, whose accuracy is estimated too but
-    held between 0.9 and 0.999: without it, the largest group of like voters
-    would become the label. The known labels also start the posterior and add a
-    tenth of their counts as a prior.
+    accuracies: of each voter, the chance that a vote it casts is right;
+    correlations: of each voter's vote with its parent's, given the label (0 for the root).
     """
-    votes = votes.astype(float)
-    m = votes.shape[1]
-    start = np.where(known > 0, 0.95, 0.05)
-    posterior = start.copy()
-    tree = tree_of(votes, start) if m else []
-    parents = np.array([max(p, 0) for p in tree], int)
-    root = np.array([p < 0 for p in tree], bool)
+
+    posterior: np.ndarray
+    share: float
+    accuracies: list[float]
+    correlations: list[float]
+    tree: list[int]
+
+
+def better_than_chance(given: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """given (by label, voter, parent's vote, own vote) with votes of at least the floor's accuracy.
+
+    What a vote lacks is taken from the other label's chance of it, so that the vote is as likely as before.
+    """
+    given = given.copy()
+    for vote, side in ((2, 1), (0, 0)):
+        for parent in (0, 1, 2):
+            least = FLOOR if parent == 1 else share[side]
+            chance = share[:, None] * given[:, :, parent, vote]
+            total = chance.sum(0)
+            short = chance[side] < least * total
+            want = [np.where(short, (least if y == side else 1 - least) * total, chance[y]) / share[y] for y in (0, 1)]
+            for y in (0, 1):
+                now = np.minimum(want[y], 0.98)
+                rest = (1 - now) / np.maximum(1 - given[y, :, parent, vote], 1e-9)
+                others = [v for v in (0, 1, 2) if v != vote]
+                given[y, :, parent, others] *= np.where(short, rest, 1.0)
+                given[y, :, parent, vote] = np.where(short, now, given[y, :, parent, vote])
+    return given
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray | None = None, rounds: int = ROUNDS) -> Labels:
+    """Infers the labels of rows of votes (1 toxic, -1 clean, 0 abstained), each row counting times.
+
+    start is where the posterior labels begin; nothing else is known of the labels.
+    """
+    n, m = votes.shape
+    times = np.ones(n) if times is None else times.astype(float)
+    posterior = start.astype(float)
+    if not m:
+        return Labels(posterior, float(posterior @ times / max(times.sum(), 1e-9)), [], [], [])
+    state = votes.astype(int) + 1
+    seen = (state[:, :, None] == np.arange(3)).astype(np.float32)
+    flat = seen.reshape(n, 3 * m)
+    every = np.arange(m)
     for _ in range(rounds):
-        logs = []
-        for y in (0, 1):
-            w = (posterior if y else 1 - posterior) + 0.1 * (start if y else 1 - start)
-            total = np.full(len(votes), np.log(w.sum() / 1.1 / len(votes) + 1e-9))
-            if m:
-                pa_votes = np.where(root[None, :], 0.0, votes[:, parents])
-                for a in (0, 1):
-                    when = pa_votes == a
-                    mass = (w[:, None] * when).sum(0)
-                    p = ((w[:, None] * when * votes).sum(0) + 0.05) / (mass + 1.0)
-                    p = np.clip(p, 1e-6, 1 - 1e-6)
-                    total += (when * np.where(votes > 0, np.log(p), np.log1p(-p))).sum(1)
-            given = float(np.clip(((w * (known > 0)).sum() + 0.5) / (w.sum() + 1.0), *((0.9, 0.999) if y else (0.001, 0.1))))
-            total += np.where(known > 0, np.log(given), np.log1p(-given))
-            logs.append(total)
-        posterior = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
-    accuracy = ((votes * posterior[:, None]).sum(0) + 0.5) / (votes.sum(0) + 1.0) if m else np.zeros(0)
-    return posterior, accuracy.tolist(), tree
-
-
-def linear_classifier(x: np.ndarray, y: np.ndarray, strength: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Logistic regression with an L2 penalty (not on the last column), by Newton steps."""
+        weight = np.stack([(1 - posterior) * times, posterior * times])
+        mass = weight.sum(1)
+        share = (mass + 0.5) / (mass.sum() + 1.0)
+        met = np.stack([((flat * w[:, None].astype(np.float32)).T @ flat).astype(float) for w in weight]).reshape(2, m, 3, m, 3)
+        single = (np.einsum("yjaja->yja", met) + 0.05) / (mass[:, None, None] + 0.15)
+        tree = tree_of(met / (mass[:, None, None, None, None] + 1e-9), share)
+        parent = np.maximum(tree, 0)
+        # by label, voter, parent's vote, own vote; as the voter alone where the parent's vote is rare
+        pair = met[:, parent, :, every].transpose(1, 0, 2, 3)
+        given = (pair + single[:, :, None, :]) / (pair.sum(3, keepdims=True) + 1.0)
+        root = np.array(tree) < 0
+        given[:, root] = single[:, root, None, :]
+        given = better_than_chance(given, share)
+        log = np.log(given)
+        say = np.stack([log[y][every, state[:, parent], state].sum(1) for y in (0, 1)]) + np.log(share)[:, None]
+        before, posterior = posterior, 1 / (1 + np.exp(np.clip(say[0] - say[1], -30, 30)))
+        if np.abs(posterior - before).max() < SETTLED:
+            break
+    right = share[1] * single[1, :, 2] + share[0] * single[0, :, 0]
+    cast = (share[:, None] * (single[:, :, 0] + single[:, :, 2])).sum(0)
+    votes_of, both = np.array([-1.0, 0.0, 1.0]), share[:, None, None, None] * pair / (mass[:, None, None, None] + 1e-9)
+    mean, mean_parent = single @ votes_of, single[:, parent] @ votes_of
+    moved = np.einsum("yjab,yja,yjb->j", both, votes_of - mean_parent[:, :, None], votes_of - mean[:, :, None])
+    spread = np.sqrt(np.maximum(np.einsum("y,yja,yja->j", share, single, (votes_of - mean[:, :, None]) ** 2), 1e-12))
+    correlations = np.where(root, 0.0, moved / (spread * spread[parent]))
+    return Labels(posterior, float(share[1]), (right / cast).tolist(), np.clip(correlations, -1, 1).tolist(), tree)
+
+
+def linear_classifier(x: np.ndarray, y: np.ndarray, times: np.ndarray, strength: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Logistic regression with an L2 penalty (not on the last column), by Newton steps; rows count times."""
     n, m = x.shape
     w = np.zeros(m)
     penalty = np.full(m, strength)
     penalty[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (times * (p - y)) + penalty * w
+        h = (x * (times * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -229,21 +287,58 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         hit = np.unpackbits(packed, axis=1)[:, : len(names)].astype(float)
     else:
         hit = np.zeros((len(table), 0))
-    return trained(model, np.repeat(hit, times, axis=0), np.repeat(table["y"].to_numpy(int), times))
+    return trained(model, hit, table["y"].to_numpy(int), times)
+
+
+def voters_of(hit: np.ndarray, y: np.ndarray, times: np.ndarray) -> list[int]:
+    """The first VOTERS features of enough support, without those whose hits are nearly all hits of an earlier one."""
+    chosen: list[int] = []
+    size, support = times @ hit, (times * (y > 0)) @ hit
+    for j in np.flatnonzero(support >= VOTER_SUPPORT * times[y > 0].sum()).tolist():
+        both = (times * hit[:, j]) @ hit[:, chosen]
+        if len(chosen) < VOTERS and not (both > ALIKE * size[j]).any():
+            chosen.append(j)
+    return chosen
+
+
+def committees_of(hit: np.ndarray, voters: list[int], times: np.ndarray) -> np.ndarray:
+    """Each voter's committee, from 0: those linked by pairs that often vote together."""
+    own = hit[:, voters]
+    both = (own * times[:, None]).T @ own
+    near = both > TOGETHER * np.minimum.outer(np.diag(both), np.diag(both))
+    label = np.arange(len(voters))
+    while len(label):
+        lower = np.where(near, label, len(voters)).min(1)
+        lower = np.minimum(lower, lower[lower])
+        if np.array_equal(lower, label):
+            break
+        label = lower
+    return np.unique(label, return_inverse=True)[1]
 
 
-def trained(model: Model, hit: np.ndarray, y: np.ndarray) -> Model:
-    """The label model on the voters' votes, and the classifier on its posterior labels."""
+def votes_of(hit: np.ndarray, voters: list[int], committees: np.ndarray) -> np.ndarray:
+    """The committees' votes, the density voters last: 1 toxic, -1 clean, 0 abstained."""
     total = hit.sum(1)
-    votes = np.column_stack([hit[:, :VOTERS], total >= 2, total >= 4]).astype(float)
-    posterior, accuracies, tree = label_model(votes, y)
+    votes = [hit[:, np.array(voters)[committees == c]].max(1).astype(int) for c in range(committees.max(initial=-1) + 1)]
+    density = [np.where(total >= most, 1, np.where(total == 0, -1, 0)) for most in (2, 4)]
+    return np.column_stack([*votes, *density])
+
+
+def trained(model: Model, hit: np.ndarray, y: np.ndarray, times: np.ndarray) -> Model:
+    """The label model on the voters' votes, and the classifier on its posterior labels."""
+    times = times.astype(float)
+    total, voters = hit.sum(1), voters_of(hit, y, times)
+    committees = committees_of(hit, voters, times)
+    share = (y > 0) @ times / times.sum()
+    labels = label_model(votes_of(hit, voters, committees), np.where(y > 0, START, (1 - START) * share / (1 - share)), times)
     some = (total > 0).astype(float)
     x = np.column_stack([hit, some, np.log(np.maximum(total, 1)), np.ones(len(hit))])
-    w = linear_classifier(x, posterior)
+    w = linear_classifier(x, labels.posterior, times)
     m = len(model.names)
     model.weights, model.any_hit, model.log_hits, model.constant = w[:m], float(w[m]), float(w[m + 1]), float(w[m + 2])
-    model.voters = [*model.names[:VOTERS], ">=2", ">=4"]
-    model.accuracies, model.tree = accuracies, tree
+    model.voters = [model.names[j] for j in voters]
+    model.committees = [*(" ".join(model.names[j] for j, k in zip(voters, committees, strict=True) if k == c) for c in range(committees.max(initial=-1) + 1)), ">=2", ">=4"]
+    model.accuracies, model.correlations, model.tree = labels.accuracies, labels.correlations, labels.tree
     return model
 
 

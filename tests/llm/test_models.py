@@ -168,7 +168,7 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
-    assert max(model.accuracies[: len(model.names)]) > 0.9
+    assert max(model.accuracies) > 0.9 and len(model.accuracies) == len(model.committees) == len(model.correlations) == len(model.tree)
 
 
 def test_toxicity_without_labels(spark):
@@ -179,13 +179,49 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
     r = np.random.default_rng(1)
-    y = r.random(4000) < 0.3
-    good, twin, bad = (np.where(y, r.random(4000) < 0.8, r.random(4000) < 0.02) for _ in range(3))
-    twin = good ^ (r.random(4000) < 0.02)
-    bad = r.random(4000) < 0.2
-    posterior, accuracy, tree = toxicity.label_model(np.column_stack([good, twin, bad]), y.astype(int))
-    assert accuracy[0] > 0.9 and accuracy[2] < 0.5
-    assert tree[1] == 0 or tree[0] == 1
-    assert ((posterior > 0.5) == y).mean() > 0.95
+    n = 6000
+    y = r.random(n) < 0.3
+
+    def voter(right, wrong):
+        return np.where(y, r.random(n) < right, r.random(n) < wrong).astype(int)
+
+    good, fair, other, bad = voter(0.8, 0.02), voter(0.6, 0.05), voter(0.5, 0.03), voter(0.2, 0.2)
+    twin = good ^ (r.random(n) < 0.02)
+    against = np.where(y, 0, -(r.random(n) < 0.7).astype(int))
+    votes = np.column_stack([good, twin, fair, other, bad, against])
+    for flipped in (0.0, 0.2):
+        annotated = y ^ (r.random(n) < flipped)
+        found = toxicity.label_model(votes, np.where(annotated, 0.99, 0.01))
+        assert ((found.posterior > 0.5) == y).mean() > 0.93
+        assert flipped == 0 or ((found.posterior > 0.5) == annotated).mean() < 0.85
+        for j, v in enumerate([good, twin, fair, other]):
+            true = (y & (v > 0)).sum() / max((v > 0).sum(), 1)
+            assert abs(found.accuracies[j] - true) < 0.06, (j, found.accuracies[j], true)
+        assert found.accuracies[4] < 0.45 and found.accuracies[5] > 0.85
+        assert abs(found.share - 0.3) < 0.08
+        assert 1 in (j for j, p in enumerate(found.tree) if p == 0) or found.tree[0] == 1
+        strongest = max(range(6), key=lambda j: found.correlations[j])
+        assert {strongest, found.tree[strongest]} == {0, 1} and found.correlations[strongest] > 0.8
+
+
+def test_noisy_annotations_are_overruled(spark):
+    rows, labels = labelled(3000)
+    truth = {i: t for i, t, _ in labels if t is not None}
+    r = random.Random(3)
+    noisy = [(i, t if t is None else t ^ (r.random() < 0.2), q) for i, t, q in labels]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = toxicity.fit(docs, spark.createDataFrame(noisy, "doc_id long, toxic int, quality int"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_texts(docs, model).collect()}
+    agree = [got[i] == t for i, t in truth.items() if i in got]
+    assert sum(agree) >= 0.97 * len(agree)
+    assert sum(got[i] == t for i, t, _ in noisy if t is not None and i in got) < 0.87 * len(agree)
+
+
+def test_toxicity_with_clashing_labels(spark):
+    rows, labels = labelled(300)
+    docs = spark.createDataFrame([(*x, 1, "s") for x in rows], SCHEMA + ", toxic int, y string")
+    marks = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in labels + labels[:9]] + [(None, 1, None, None)], "doc_id long, toxic int, text string, y string")
+    got = toxicity.score_texts(docs, toxicity.fit(docs, marks))
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
