@@ -7,7 +7,8 @@ of the canvas, and follows each frame's disposal before the next is drawn.
 LZW codes between two clear codes have known widths, so they are cut out of the
 stream with one numpy step, and a code's string is a copy of the output where
 the code before its entry began, one longer; chains of copies are followed by
-pointer doubling. Nothing loops over single pixels.
+pointer doubling, so decoding loops over no single pixel; encoding takes one step
+of Python for each byte.
 
 encode() writes losslessly 8-bit samples as grey frames of one screen width.
 

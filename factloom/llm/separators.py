@@ -33,11 +33,12 @@ FILE_IDS, BLOCK_IDS = 1 << 26, 1 << 20
 ORDER = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("file_ids", pa.int64())])
 
 
-def write_flat(docs: DataFrame, tokenizer: str, end: int, width: int = 2) -> tuple[str, DataFrame]:
+def write_flat(docs: DataFrame, tokenizer: str, end: int, width: int = 2, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
     """Write the ids of every document and end as flat files of width bytes an id.
 
     Returns the folder and (file, ordinal, doc_id, file_ids): which document is
-    the how-many-th of its file, and the ids in the file; no offsets.
+    the how-many-th of its file, without offsets; and for each file a row with
+    its number of ids and no ordinal.
     """
     spark = docs.sparkSession
     folder = scratch(spark, "flat-tokens")
@@ -51,26 +52,28 @@ def write_flat(docs: DataFrame, tokenizer: str, end: int, width: int = 2) -> tup
         if max(w.size - 1, end) >= 1 << 8 * width:
             raise ValueError("the ids need more bytes")
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
-        out, file, n, number = None, "", 0, 0
-        rows: list[tuple] = []
-        tail = np.array([end], kind)
+        out, file, n, number, ordinal = None, "", 0, 0, 0
+        tail = np.array([end], kind).tobytes()
         for batch in source:
             found, doc_ids = list(texts(batch, 1)), batch.column(0).to_pylist()
             for k in range(0, len(found), 256):
+                rows: list[tuple] = []
                 for i, ids in zip(doc_ids[k : k + 256], w.ids(found[k : k + 256]), strict=True):
                     if out is None:
-                        file, n = f"part-{part:06d}-{number:04d}-{attempt}.flat", 0
+                        file, n, ordinal = f"part-{part:06d}-{number:04d}-{attempt}.flat", 0, 0
                         out = fs.open_output_stream(f"{root}/{file}")
-                    out.write(ids.astype(kind).tobytes() + tail.tobytes())
+                    out.write(ids.astype(kind).tobytes() + tail)
                     n += len(ids) + 1
-                    rows.append((file, len(rows), i))
-                    if n >= FILE_IDS:
+                    rows.append((file, ordinal, i, None))
+                    ordinal += 1
+                    if n >= file_ids:
                         out.close()
-                        yield batches(ORDER, [(*r, n) for r in rows])
-                        out, rows, number = None, [], number + 1
+                        rows.append((file, None, None, n))
+                        out, number = None, number + 1
+                yield batches(ORDER, rows)
         if out is not None:
             out.close()
-            yield batches(ORDER, [(*r, n) for r in rows])
+            yield batches(ORDER, [(file, None, None, n)])
 
     written = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "file string, ordinal long, doc_id long, file_ids long")
     return folder, materialise(written, "flat-order")
@@ -123,7 +126,7 @@ def document_token_counts(docs: DataFrame, tokenizer: str, end: int, width: int
     """doc_id, file, ordinal, n_tokens: writes the flat files, scans them, and names the documents again."""
     spark = docs.sparkSession
     folder, order = write_flat(docs, tokenizer, end, width)
-    files = order.groupBy("file").agg(F.max("file_ids").alias("file_ids"))
+    files = order.where("ordinal IS NULL").select("file", "file_ids")
     counts = count_tokens(spark, folder, files, end, width)
     # the written order compresses so well that its size misleads the planner into a broadcast
-    return order.select("file", "ordinal", "doc_id").hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
+    return order.where("ordinal IS NOT NULL").select("file", "ordinal", "doc_id").hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

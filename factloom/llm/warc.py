@@ -181,6 +181,11 @@ def write_index(captures: DataFrame, block_lines: int = BLOCK_LINES) -> tuple[st
     return folder, materialise(written, "warc-index-files")
 
 
+UNITS = pa.schema([("key", pa.string()), ("file", pa.int32()), ("block", pa.int32())])
+#: Blocks that are dealt to one task together.
+NEIGHBOURS = 16
+
+
 class CaptureIndex:
     """Look-ups in the index files; holds the directories of the file last used and the block last read."""
 
@@ -209,42 +214,61 @@ class CaptureIndex:
             self.block = (i, k), [json.loads(x) for x in zlib.decompress(self.ranged(self.manifest[i][1], at, n)).decode().split("\n")]
         return self.block[1]
 
-    def look_up(self, key: str) -> Iterator[list]:
-        """The captures of a key: [key, page_id, file, offset, length]."""
+    def blocks(self, key: str) -> Iterator[tuple[int, int]]:
+        """(file, block) of the blocks that a key's captures may stand in, from the directories alone."""
         i = max(0, bisect.bisect_left(self.firsts, key) - 1)
         while i < len(self.manifest) and self.firsts[i] <= key:
             entries, firsts = self.directory(i)
             k = max(0, bisect.bisect_left(firsts, key) - 1)
             while k < len(entries) and firsts[k] <= key:
-                lines = self.lines(i, k)
-                a = bisect.bisect_left(lines, key, key=lambda x: x[0])
-                for x in lines[a:]:
-                    if x[0] != key:
-                        break
-                    yield x
+                yield i, k
                 k += 1
             i += 1
 
+    def in_block(self, key: str, i: int, k: int) -> list:
+        """A key's captures in a block: [key, page_id, file, offset, length]."""
+        lines = self.lines(i, k)
+        a = bisect.bisect_left(lines, key, key=lambda x: x[0])
+        return lines[a : bisect.bisect_right(lines, key, lo=a, key=lambda x: x[0])]
+
 
 def look_up(spark: SparkSession, folder: str, manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """The captures of a table of distinct keys (column key)."""
+    """The captures of a table of distinct keys (column key).
+
+    The directories name the blocks to read, and the blocks are dealt out, so
+    that a key with very many captures isn't one task's.
+    """
     # bounded: write_index makes at most INDEX_FILES files
     rows = sorted((r["first"], r["file"], r["directory"], r["size"]) for r in manifest.limit(INDEX_FILES + 1).collect())
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(folder, rows)
         for batch in source:
             found: list = []
             for key in batch.column(0).to_pylist():
-                for x in index.look_up(key):
-                    found.append(x)
+                for i, k in index.blocks(key):
+                    found.append((key, i, k))
                     if len(found) >= 10_000:
-                        yield batches(CAPTURES, found)
+                        yield batches(UNITS, found)
                         found = []
+            yield batches(UNITS, found)
+
+    def read(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CaptureIndex(folder, rows)
+        for batch in source:
+            found: list = []
+            for key, i, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found += index.in_block(key, i, k)
+                if len(found) >= 10_000:
+                    yield batches(CAPTURES, found)
+                    found = []
             yield batches(CAPTURES, found)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(run, CAPTURE_DDL)
+    units = keys.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").mapInArrow(find, "key string, file int, block int")
+    # blocks that follow one another stay together, so that a directory is read once for them
+    dealt = units.repartition(n, "file", (F.col("block") / NEIGHBOURS).cast("int")).sortWithinPartitions("file", "block", "key")
+    return dealt.mapInArrow(read, CAPTURE_DDL)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:

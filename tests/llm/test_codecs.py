@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm import gif, pieces, separators, tokenfiles, words
+from factloom.llm import gif, pieces, queries, separators, tokenfiles, words
 from factloom.llm.words import words as loaded_words
 
 PIECES, WORDS = (public_tokenizers.path(x) for x in ("piece_bpe_32k.model", "word_bpe_49k.json"))
@@ -130,11 +130,16 @@ def test_token_files(spark):
 
 
 def test_separator_scan(spark):
-    w = words.Words(WORDS, special=False)
-    want = sorted(len(w.ids([t or ""])[0]) + 1 for t in [*TEXTS, "null id"])
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    lib.encode_special_tokens = True
+    want = sorted(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for t in [*TEXTS, "null id"])
     assert sorted(r["n_tokens"] for r in separators.document_token_counts(docs(spark), WORDS, 49407).collect()) == want
+    w = words.Words(WORDS, special=False)
+    assert sorted(len(w.ids([t or ""])[0]) + 1 for t in [*TEXTS, "null id"]) == want
     folder, order = separators.write_flat(docs(spark).coalesce(1), WORDS, 49407)
-    files = order.select("file", "file_ids").distinct()
+    files, order = order.where("ordinal IS NULL").select("file", "file_ids"), order.where("ordinal IS NOT NULL")
     for block in (1, 2, 3, 7, 50):
         got = separators.count_tokens(spark, folder, files, 49407, block_ids=block).orderBy("ordinal").collect()
         known = [r["doc_id"] for r in order.orderBy("ordinal").collect()]
@@ -213,3 +218,76 @@ def test_media_digests(spark):
     frames = gif.frames(gif.media_column(data)).where("id = 12").collect()
     assert len(frames) == 3 and sum(frames[0]["histogram"]) == 3 * 192 * 320
     assert gif.media_digests(gif.media_column(data.limit(0))).count() == 0
+
+
+def test_queries_of_codecs(spark, tmp_path):
+    rows = [(i, t, "clash", i) for i, t in enumerate([*TEXTS, "long " * 60_000])] + [(None, None, None, None), (3, TEXTS[3], "c", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, file string, ordinal int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    lib, plain = loaded_words(WORDS).library, words.Words(WORDS, special=False).library
+
+    def run(name):
+        assert queries.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+        return queries.QUERIES[name](spark, str(tmp_path))
+
+    got = run("op8_separator_scan")
+    assert got.columns == ["doc_id", "n_tokens"]
+    assert Counter(map(tuple, got.collect())) == Counter((i, len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows)
+    got = run("op3_token_files").collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(lib.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in rows)
+    got = run("op4_gif_media").collect()
+    padded = {i: (t or "").encode() + b" " * (-len((t or "").encode()) % 192 or 192 * (not t)) for i, t, *_ in rows}
+    assert Counter((r["doc_id"], r["payload_sha256"]) for r in got) == Counter((i, hashlib.sha256(padded[i]).hexdigest()) for i, *_ in rows)
+    got = run("op2_sentencepiece_round_trip").collect()
+    own = pieces.vocabulary(PIECES).library
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(own.encode(t or "", add_eos=True))) for i, t, *_ in rows)
+
+
+def plain_lzw(data, bits):
+    """An LZW decoder of its own, one code at a time."""
+    clear, end = 1 << bits, (1 << bits) + 1
+    table, size, out, last, at, held, n = None, bits + 1, b"", None, 0, 0, 0
+    while True:
+        while n < size:
+            held, n, at = held | data[at] << n, n + 8, at + 1
+        code, held, n = held & (1 << size) - 1, held >> size, n - size
+        if code == clear:
+            table, size, last = {**{i: bytes([i]) for i in range(clear)}, clear: b"", end: b""}, bits + 1, None
+        elif code == end:
+            return out
+        else:
+            piece = table[code] if code in table else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table[len(table)] = last + piece[:1]
+            out, last = out + piece, piece
+            if len(table) == 1 << size and size < 12:
+                size += 1
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.binary(min_size=1, max_size=4000))
+def test_stored_media_by_another_decoder(data):
+    """What encode writes, read by a decoder that shares nothing with it."""
+    payload = data + b" " * (-len(data) % 192 or 192 * (not data))
+    m = gif.encode(payload)
+    assert m[:6] == b"GIF89a" and m[-1:] == b"\x3b"
+    at, out = 13 + (3 << (m[10] & 7) + 1 if m[10] & 0x80 else 0), b""
+    palette = m[13:at]
+    while m[at] != 0x3B:
+        if m[at] == 0x21:
+            at += 2
+        else:
+            assert m[at] == 0x2C
+            local = m[at + 9]
+            at += 10 + (3 << (local & 7) + 1 if local & 0x80 else 0)
+            bits, stream = m[at], b""
+            at += 1
+            while m[at]:
+                stream, at = stream + m[at + 1 : at + 1 + m[at]], at + 1 + m[at]
+            out += plain_lzw(stream, bits)
+            at += 1
+            continue
+        while m[at]:
+            at += 1 + m[at]
+        at += 1
+    assert len(palette) >= 3 and out[: len(payload)] == payload

@@ -41,9 +41,22 @@ def test_look_ups(spark):
     want = {}
     for i, u, *_ in rows:
         want.setdefault(warc.url_key(u), set()).add(i)
+
+    def found(key):
+        return [x for i, k in index.blocks(key) for x in index.in_block(key, i, k)]
+
     for key, ids in want.items():
-        assert {x[1] for x in index.look_up(key)} == ids
-    assert not list(index.look_up("com,example,absent)/")) and not list(index.look_up(""))
+        assert sorted(x[1] for x in found(key)) == sorted(ids)
+    assert not found("com,example,absent)/") and not found("")
+    keys = captures.select("key").distinct()
+    got = warc.look_up(spark, folder, manifest, keys).select("key", "page_id").collect()
+    assert sorted(map(tuple, got)) == sorted((k, i) for k, ids in want.items() for i in ids)
+
+
+def test_one_url_for_all_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "NEIGHBOURS", 1)
+    rows = [(i, None, f"page {i}" + "x" * (i % 2000), None) for i in range(300)]
+    assert sorted(map(tuple, warc.archive_round_trip(spark.createDataFrame(rows, SCHEMA), 7).collect()), key=str) == brute(rows)
 
 
 def test_keys():
