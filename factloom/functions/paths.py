@@ -17,7 +17,7 @@ LANGUAGES = {
 }
 NAMES = {"Makefile": "make", "Dockerfile": "docker", "CMakeLists.txt": "cmake", "justfile": "just", "BUILD": "bazel", "WORKSPACE": "bazel"}
 BUILD_FILES = ["Makefile", "CMakeLists.txt", "Dockerfile", "docker-compose.yml", "docker-compose.yaml", "Jenkinsfile", "Taskfile.yml", "pyproject.toml"]
-CONFIG_EXTENSIONS = ["yaml", "yml", "toml", "json", "ini", "cfg", "env", "properties"]
+CONFIG_EXTENSIONS = ["yaml", "yml", "json", "toml", "cfg", "ini", "xml", "env", "properties"]
 DOC_EXTENSIONS = ["md", "rst", "txt", "adoc"]
 BARRELS = ["__init__.py", "index.js", "index.ts", "index.tsx", "index.jsx", "mod.rs"]
 DIFF_BUILD = [

@@ -2,30 +2,62 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words and patterns with a meaning of their own.
+# Words and patterns with a meaning of their own, as others use them.
 INTENTS = {
-    "debug": "bug fix error crash broken fail failing wrong issue debug trace traceback exception stacktrace investigate diagnose",
-    "implement": "add implement create build introduce support feature extend enable integrate wire",
-    "refactor": "refactor rename move extract split merge consolidate simplify clean reorganize restructure decouple inline",
-    "understand": "understand explain how what where why find locate show describe document reads overview architecture",
-    "test": "test tests testing coverage spec assertion mock fixture pytest unittest",
+    "debug": ["bug", "fix", "error", "crash", "broken", "fail", "failing", "wrong", "issue", "debug", "trace", "traceback", "exception", "stacktrace", "investigate", "diagnose"],
+    "implement": ["add", "implement", "create", "build", "introduce", "support", "feature", "extend", "enable", "integrate", "wire"],
+    "refactor": ["refactor", "rename", "move", "extract", "split", "merge", "consolidate", "simplify", "clean", "reorganize", "restructure", "decouple", "inline"],
+    "understand": ["understand", "explain", "how", "what", "where", "why", "find", "locate", "show", "describe", "document", "reads", "overview", "architecture"],
+    "test": ["test", "tests", "testing", "coverage", "spec", "assertion", "mock", "fixture", "pytest", "unittest"],
 }
-STACKTRACE = "error exception traceback crash fail stacktrace raise raised assertion stack trace"
-NEGATIONS = r"(?i)\b(?:not|exclude|excluding|except|without)\s+([\w.,;:!?]+)"
+STACKTRACE = [
+    "traceback", "stacktrace", "stack trace", "exception", "error", "raise", "raised", "traceback:", "errno", "oserror", "typeerror", "valueerror", "keyerror",
+    "attributeerror", "importerror", "runtimeerror", "indexerror", "filenotfounderror", "nameerror", "zerodivisionerror", "assertionerror", "notimplementederror",
+    "connectionerror", "timeouterror", "permissionerror",
+]
+TEST_DRIVEN = [
+    "write tests", "add tests", "test coverage", "missing tests", "increase coverage", "unit tests", "test cases", "integration tests", "parametrize", "pytest",
+    "fixture", "mock", "assert",
+]
+NEGATIONS = r"(?i)\b(?:not|exclude|except|without|ignore|skip|excluding|except for)\s+(\S+)"
 CROSS_REFERENCES = [
-    (r":(?:func|class|meth|mod|attr|data|obj|exc):`~?([^`]+)`", "high"),
-    (r"(?i)see also:?\s+`?([\w.]+)`?", "high"),
-    (r"\[`([^`\]]+)`\]", "high"),
-    (r"\b([a-z_]\w*(?:\.\w+){2,})\b", "medium"),
-    (r"\b([A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+)\b", "low"),
+    (r":(?:func|class|meth|attr|mod|data|const|exc|obj):`~?([^`]+)`", "high"),
+    (r"[Ss]ee\s+(?:also\s+)?[`:]*([A-Z][A-Za-z0-9_.]+)", "high"),
+    (r"\[([A-Z][A-Za-z0-9_.]+)\]\(", "high"),
+    (r"\[([A-Z][A-Za-z0-9_.]+)\]\[\]", "high"),
+    (r"(?:^|\s)#([A-Z][A-Za-z0-9_.]+)", "high"),
+    (r"(?:Returns?|Raises?|Yields?|Args?):\s*([A-Z][A-Za-z0-9_.]+)", "high"),
+    (r"(?<!\w)([a-z_][a-z0-9_]*(?:\.[A-Z][A-Za-z0-9_]*)+)(?!\w)", "medium"),
+    (r"(?<![A-Za-z])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z])", "low"),
 ]
-ENDPOINTS = [
-    (r"""@\w+\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']""", "server"),
-    (r"""(?:requests|httpx|client|axios)\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']""", "client"),
+# (pattern, place of the method, place of the URL); without a method, any or GET
+SERVER_ENDPOINTS = {
+    "python": [
+        (r"""(?i)@\w+\.(route|get|post|put|delete|patch|head|options)\(\s*['"]([^'"]+)['"]""", 1, 2),
+        (r"""(?i)path\(\s*['"]([^'"]+)['"]""", None, 1),
+        (r"""APIRouter\([^)]*prefix\s*=\s*['"]([^'"]+)['"]""", None, 1),
+    ],
+    "javascript": [
+        (r"""(?i)\.(get|post|put|delete|patch|all)\(\s*['"`]([^'"`]+)['"`]""", 1, 2),
+        (r"""@(Get|Post|Put|Delete|Patch)\(\s*['"]([^'"]+)['"]""", 1, 2),
+        (r"""@Controller\(\s*['"]([^'"]+)['"]""", None, 1),
+    ],
+    "go": [
+        (r"""\.(GET|POST|PUT|DELETE|PATCH|Handle|HandleFunc)\(\s*"([^"]+)\"""", 1, 2),
+        (r"""HandleFunc\(\s*"([^"]+)\"""", None, 1),
+    ],
+}
+CLIENT_ENDPOINTS = [
+    (r"""(?:requests|httpx)\.(get|post|put|delete|patch)\(\s*['"]([^'"]+)['"]""", 1, 2),
+    (r"""(?:fetch|axios)\.(get|post|put|delete|patch)?\(\s*['"`]([^'"`]+)['"`]""", 1, 2),
+    (r"""fetch\(\s*['"`]([^'"`]+)['"`]""", None, 1),
 ]
+ANY_METHOD = ["route", "all", "handle", "handlefunc"]
 WORD_PARTS = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 
@@ -75,7 +107,7 @@ def task_words(task: Column) -> Column:
 def intent(task: Column) -> Column:
     """The kind of task with the most key words; on a tie the first kind; unknown without any."""
     words = task_words(task)
-    hits = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in k.split()]))) for k in INTENTS.values()]
+    hits = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in k]))) for k in INTENTS.values()]
     best = F.greatest(*hits)
     found = F.when(best == 0, "unknown")
     for name, n in zip(INTENTS, hits, strict=True):
@@ -85,10 +117,16 @@ def intent(task: Column) -> Column:
 
 def is_stacktrace(task: Column) -> Column:
     low = F.lower(task)
-    hits = F.size(F.array_intersect(task_words(task), F.array(*[F.lit(w) for w in STACKTRACE.split()])))
+    hits = F.size(F.array_intersect(task_words(task), F.array(*[F.lit(w) for w in STACKTRACE])))
     return F.contains(low, F.lit("stack trace")) | F.contains(low, F.lit("traceback:")) | (hits >= 2)
 
 
+def is_test_driven(task: Column) -> Column:
+    """The task itself is about tests: by its intent, or a phrase that says so."""
+    low = F.lower(task)
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in TEST_DRIVEN]) | (intent(task) == "test"), F.lit(False))
+
+
 def negative_mentions(task: Column) -> Column:
     terms = F.transform(F.regexp_extract_all(task, F.lit(NEGATIONS), F.lit(1)), lambda t: F.regexp_replace(F.lower(t), r"^[.,;:!?]+|[.,;:!?]+$", ""))
     return F.array_distinct(F.filter(terms, lambda t: F.length(t) >= 2))
@@ -166,10 +204,6 @@ def _reference(i: Column, level: Column):
     return lambda t: F.struct((i + 1).cast("int").alias("line"), t.alias("target"), level.alias("confidence"))
 
 
-def _call(kind: Column):
-    return lambda m, u: F.struct(kind.alias("kind"), F.upper(m).alias("method"), u.alias("url"))
-
-
 def cross_references(text: Column) -> Column:
     """array of structs (line, target, confidence): each target of a line once, with its best confidence."""
     none = F.array().cast("array<struct<line:int,target:string,confidence:string>>")
@@ -177,9 +211,9 @@ def cross_references(text: Column) -> Column:
     def of_line(line: Column, i: Column) -> Column:
         found = none
         for pattern, confidence in CROSS_REFERENCES:
-            targets = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), F.trim), lambda t: F.length(t) >= 2))
+            targets = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda t: F.trim(t)), lambda t: F.length(t) >= 2))
             if confidence == "low":
-                targets = F.when(F.trim(line).rlike("^(def|class|import|from) "), F.array().cast("array<string>")).otherwise(targets)
+                targets = F.when(F.trim(line).rlike("^(def|class|import|from) |^$"), F.array().cast("array<string>")).otherwise(targets)
             known = F.transform(found, lambda x: x["target"])
             level = F.lit(confidence)  # bound below by its value: a lambda's further parameters would be taken for its own
             new = F.transform(F.array_except(targets, known), _reference(i, level))
@@ -189,13 +223,32 @@ def cross_references(text: Column) -> Column:
     return F.flatten(F.transform(F.split(text, "\n"), of_line))
 
 
-def endpoints(source: Column) -> Column:
-    """array of structs (kind, method, url) of server and client calls."""
-    parts = []
-    for pattern, kind in ENDPOINTS:
-        methods, urls = (F.regexp_extract_all(source, F.lit(pattern), F.lit(k)) for k in (1, 2))
-        parts.append(F.zip_with(methods, urls, _call(F.lit(kind))))
-    return F.concat(*parts)
+def _endpoint(i: Column, kind: str, method: Column, url: Column) -> Column:
+    return F.struct((i + 1).cast("int").alias("line"), F.lit(kind).alias("kind"), method.alias("method"), url.alias("url"))
+
+
+def _found(line: Column, i: Column, kind: str, pattern: str, method: int | None, url: int) -> Column:
+    """The endpoints of a line by one pattern."""
+    urls = F.regexp_extract_all(line, F.lit(pattern), F.lit(url))
+    if method is None:
+        return F.transform(urls, lambda u: _endpoint(i, kind, F.lit("*" if kind == "server" else "GET"), u))
+
+    def named(m: Column) -> Column:
+        return F.when(F.lower(m).isin(ANY_METHOD), "*").when(m == "", "GET").otherwise(F.upper(m))
+
+    return F.zip_with(F.regexp_extract_all(line, F.lit(pattern), F.lit(method)), urls, lambda m, u: _endpoint(i, kind, named(m), u))
+
+
+def endpoints(source: Column, language: Column) -> Column:
+    """array of structs (line, kind, method, url): servers by the language's patterns, and clients' calls of paths and web addresses."""
+    none = F.array().cast("array<struct<line:int,kind:string,method:string,url:string>>")
+
+    def of_line(line: Column, i: Column) -> Column:
+        servers = [F.when(language == name, F.concat(*[_found(line, i, "server", *p) for p in patterns])).otherwise(none) for name, patterns in SERVER_ENDPOINTS.items()]
+        clients = F.concat(*[_found(line, i, "client", *p) for p in CLIENT_ENDPOINTS])
+        return F.concat(*servers, F.filter(clients, lambda x: x["url"].rlike("^(/|https?://)")))
+
+    return F.flatten(F.transform(F.split(source, "\n"), of_line))
 
 
 def sparse_round(vector: Column) -> Column:

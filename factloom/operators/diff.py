@@ -46,7 +46,7 @@ def structural_diff(base: DataFrame, target: DataFrame, hunks: DataFrame | None
     moved = pairs.select("path", "kind", F.coalesce("lexical_path", "old_path").alias("lexical_path"), change.alias("change"), F.when(F.col("new").isNotNull(), F.col("old_path")).alias("old_path"), "old", "new", F.lit(None).cast("long").alias("lines_changed"))
     both = met.where("old IS NOT NULL AND new IS NOT NULL")
     if hunks is None:
-        both = both.withColumn("lines_changed", F.lit(None).cast("long")).withColumn("_touched", F.lit(False))
+        both = both.withColumn("lines_changed", F.lit(None).cast("long")).withColumn("_touched", F.lit(True))
     else:
         both = both.join(hunks, "path", "left").withColumn("lines_changed", text.overlap(F.col("new.start_line"), F.col("new.end_line"), F.col("hunks")))
         both = both.withColumn("_touched", F.col("lines_changed").isNotNull())

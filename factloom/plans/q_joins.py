@@ -132,15 +132,14 @@ def _(f):
     return joins.reuse_by_hash(f.files)
 
 
-NAMED = "SELECT r.ref_id, r.file_id, d.name, d2.namespace FROM refs r JOIN defs d ON d.def_uid = r.target_def_uid JOIN defs d2 ON d2.def_uid = 'd' || CAST(r.ref_id % 150 AS STRING) WHERE r.ref_id % 20 < 3"
+NAMED = "SELECT r.ref_id, r.file_id, d.name, d2.namespace FROM refs r JOIN defs d ON d.def_uid = r.target_def_uid JOIN defs d2 ON d2.def_uid = 'd' || CAST(r.ref_id % 150 AS STRING)"
 
 
-def named_refs(f, refs=None):
-    """The references with a name and namespace: those that NAMED takes, or the given ones."""
+def named_refs(f):
+    """The references with a name and a namespace, as NAMED."""
     d = f.defs.select(F.col("def_uid").alias("target_def_uid"), "name")
     d2 = f.defs.select(F.col("def_uid").alias("_u"), "namespace")
-    refs = f.refs.where("ref_id % 20 < 3") if refs is None else refs
-    r = refs.join(d, "target_def_uid").withColumn("_u", F.concat(F.lit("d"), (F.col("ref_id") % 150).cast("string")))
+    r = f.refs.join(d, "target_def_uid").withColumn("_u", F.concat(F.lit("d"), (F.col("ref_id") % 150).cast("string")))
     return r.join(d2, "_u").select("ref_id", "file_id", "name", "namespace")
 
 
@@ -199,17 +198,17 @@ def resolution_cascade(f, r):
 
 
 @query("o098_scope_walk", """
-    WITH RECURSIVE s AS (SELECT CAST(p_partkey AS BIGINT) AS scope_id, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS parent FROM part WHERE p_partkey < 120),
+    WITH RECURSIVE s AS (SELECT CAST(p_partkey AS BIGINT) AS scope_id, CASE WHEN p_partkey = 0 THEN NULL ELSE CAST(floor(p_partkey / 2) AS BIGINT) END AS parent FROM part),
          a AS (SELECT scope_id, scope_id AS ancestor, 0 AS depth FROM s UNION ALL SELECT a.scope_id, s.parent, depth + 1 FROM a JOIN s ON s.scope_id = a.ancestor WHERE s.parent IS NOT NULL),
-         b AS (SELECT p_partkey AS bind_id, CAST(p_partkey % 60 AS BIGINT) AS scope_id, p_brand AS name FROM part), u AS (SELECT p_partkey AS use_id, CAST(p_partkey % 120 AS BIGINT) AS scope_id, p_brand AS name FROM part),
+         b AS (SELECT p_partkey AS bind_id, CAST(p_partkey % 60 AS BIGINT) AS scope_id, p_brand AS name FROM part), u AS (SELECT p_partkey AS use_id, CAST(p_partkey AS BIGINT) AS scope_id, p_brand AS name FROM part),
          m AS (SELECT use_id, bind_id, row_number() OVER (PARTITION BY use_id ORDER BY depth, bind_id) AS p FROM u JOIN a ON a.scope_id = u.scope_id JOIN b ON b.scope_id = a.ancestor AND b.name = u.name)
     SELECT use_id, bind_id FROM m WHERE p = 1""")
 def _(f):
     k = F.col("p_partkey")
-    scopes = f.part.where("p_partkey < 120").select(k.alias("scope_id"), F.when(k > 0, F.floor(k / 2)).alias("parent_scope_id"))
+    scopes = f.part.select(k.alias("scope_id"), F.when(k > 0, F.floor(k / 2)).alias("parent_scope_id"))
     binds = f.part.select(k.alias("bind_id"), (k % 60).alias("scope_id"), F.col("p_brand").alias("name"))
-    uses = f.part.select(k.alias("use_id"), (k % 120).alias("scope_id"), F.col("p_brand").alias("name"))
-    return resolve.innermost_bind(uses, binds, resolve.scope_ancestors(scopes, rounds=8))
+    uses = f.part.select(k.alias("use_id"), k.alias("scope_id"), F.col("p_brand").alias("name"))
+    return resolve.innermost_bind(uses, binds, resolve.scope_ancestors(scopes))
 
 
 @query("o099_export_map", "SELECT f.path, count(DISTINCT d.name) AS names FROM files f JOIN defs d ON d.file_id = f.id WHERE d.kind IN ('class', 'function') GROUP BY 1")
@@ -250,7 +249,7 @@ def _(f):
     member = F.concat(F.lit("Brand#"), (F.col("p_size") % 25 + 1).cast("string"))
     members = f.part.select(F.col("p_brand").alias("base_type"), F.col("p_type").alias("member_name"), member.alias("member_type")).groupBy("base_type", "member_name").agg(F.min("member_type").alias("member_type"))
     starts = f.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), F.array("p_type", F.when(F.col("p_size") % 2 == 0, "ECONOMY").otherwise("nosuch")).alias("chain"))
-    return resolve.trace_members(starts, members, 2).select("id", "type", "steps")
+    return resolve.trace_members(starts, members).select("id", "type", "steps")
 
 
 @query("o105_self_type", """
@@ -275,13 +274,13 @@ def _(f):
 
 
 @query("o108_xref_targets", """
-    WITH r AS (SELECT ref_id AS id, CASE WHEN ref_id % 3 = 0 THEN target_def_uid WHEN ref_id % 3 = 1 THEN 'red_widget' ELSE 'ring' END AS target FROM refs WHERE ref_id % 50 = 0),
+    WITH r AS (SELECT ref_id AS id, CASE WHEN ref_id % 3 = 0 THEN target_def_uid WHEN ref_id % 3 = 1 THEN 'red_widget' ELSE 'ring' END AS target FROM refs),
          m AS (SELECT id, 0 AS w, def_uid FROM r JOIN defs ON def_uid = target UNION ALL SELECT id, 1, def_uid FROM r JOIN defs ON name = target
                UNION ALL SELECT id, 2, def_uid FROM r JOIN defs ON list_last(string_split(qualified_name, '.')) = target),
          k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY w, def_uid) AS p FROM m)
     SELECT id, def_uid FROM k WHERE p = 1""")
 def _(f):
-    return xref_targets(f, f.refs.where("ref_id % 50 = 0"))
+    return xref_targets(f, f.refs)
 
 
 def xref_targets(f, refs):
@@ -308,10 +307,10 @@ def _(f):
 
 
 @query("o103_config_refs", """
-    WITH t AS (SELECT path, 'src/pkg' || CAST(id % 20 AS STRING) || '/m' || CAST(id AS STRING) || '.md' AS target FROM files)
+    WITH t AS (SELECT path, 'src/pkg' || CAST((id + 1) % 20 AS STRING) || '/m' || CAST(id + 1 AS STRING) || '.md' AS target FROM files)
     SELECT path, target FROM t WHERE target IN (SELECT path FROM files) AND path <> target""")
 def _(f):
-    text = F.concat(F.lit('include = "src/pkg'), (F.col("id") % 20).cast("string"), F.lit("/m"), F.col("id").cast("string"), F.lit('.md"\nall: none'))
+    text = F.concat(F.lit('include = "src/pkg'), ((F.col("id") + 1) % 20).cast("string"), F.lit("/m"), (F.col("id") + 1).cast("string"), F.lit('.md"\nall: none'))
     return resolve.config_references(f.files.select("path", text.alias("text")), f.files)
 
 

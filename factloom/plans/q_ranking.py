@@ -218,7 +218,7 @@ DIFF = f"""
     g AS (SELECT *, row_number() OVER (PARTITION BY path, kind, o ORDER BY os, lexical_path) AS p FROM m WHERE NOT hb), d AS (SELECT *, row_number() OVER (PARTITION BY path, kind, n ORDER BY ns, lexical_path) AS p FROM m WHERE NOT ha),
     r AS (SELECT coalesce(g.path, d.path) AS path, coalesce(g.kind, d.kind) AS kind, coalesce(d.lexical_path, g.lexical_path) AS lexical_path, CASE WHEN g.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'removed' ELSE 'renamed' END AS change,
         CASE WHEN d.path IS NOT NULL THEN g.lexical_path END AS old_path FROM g FULL OUTER JOIN d ON g.path = d.path AND g.kind = d.kind AND g.o = d.n AND g.p = d.p),
-    x AS (SELECT path, kind, lexical_path, change, old_path FROM r UNION ALL SELECT path, kind, lexical_path, 'signature_changed', NULL FROM m WHERE ha AND hb AND o <> n)"""
+    x AS (SELECT path, kind, lexical_path, change, old_path FROM r UNION ALL SELECT path, kind, lexical_path, CASE WHEN o <> n THEN 'signature_changed' ELSE 'body_changed' END, NULL FROM m WHERE ha AND hb)"""
 
 
 @query("o173_structural_diff", f"WITH {DIFF} SELECT path, kind, lexical_path, change FROM x")
@@ -238,7 +238,7 @@ def _(f):
 
 @query("o241_diff_with_risk", f"""
     WITH {DIFF}, k AS (SELECT 's' || CAST(l_partkey AS STRING) AS lexical_path, count(*) AS refs FROM lineitem GROUP BY 1)
-    SELECT path, x.lexical_path, change, coalesce(refs, 0) AS refs, CASE WHEN change = 'added' THEN 'low' ELSE 'high' END AS risk FROM x LEFT JOIN k USING (lexical_path)""")
+    SELECT path, x.lexical_path, change, coalesce(refs, 0) AS refs, CASE WHEN change = 'added' THEN 'low' WHEN change <> 'body_changed' THEN 'high' WHEN coalesce(refs, 0) > 10 THEN 'medium' ELSE 'unknown' END AS risk FROM x LEFT JOIN k USING (lexical_path)""")
 def _(f):
     counts = f.lineitem.groupBy(F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("lexical_path")).agg(F.count("*").alias("refs"))
     return diff.enrich(diff.structural_diff(*snapshots(f)), counts, "lexical_path").select("path", "lexical_path", "change", "refs", "risk")

@@ -71,9 +71,27 @@ def _(f):
     return f.benchmark.select("item_id", F.array_join(text.task_terms(F.col("text")), " ").alias("terms")).where("terms <> ''")
 
 
-@query("o185_negative_mentions", "SELECT conv_id, turn, array_to_string(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '\\b(?:not|exclude|excluding|except|without)\\s+([a-z0-9_.,;:!?]+)', 1), lambda x: trim(x, '.,;:!?')), lambda x: length(x) >= 2)), ' ') AS negative FROM conversations WHERE false")
+TASK = "'change ' || p_name || CASE p_size % 5 WHEN 0 THEN ' but not ' || p_brand || '!' WHEN 1 THEN ' Without ' || p_type || ', skip   ' || p_brand WHEN 2 THEN ' except for a' WHEN 3 THEN ', ignore: none' ELSE ' and exclude x' END"
+
+
+def tasks(f):
+    return f.part.select("p_partkey", F.expr(TASK).alias("task"))
+
+
+@query("o185_negative_mentions", f"""
+    WITH t AS (SELECT p_partkey, {TASK} AS t FROM part), m AS (SELECT p_partkey, unnest(regexp_extract_all(t, '(?i)\\b(?:not|exclude|except|without|ignore|skip|excluding|except for)\\s+(\\S+)', 1)) AS w FROM t)
+    SELECT DISTINCT p_partkey, trim(lower(w), '.,;:!?') AS negative FROM m WHERE length(trim(w, '.,;:!?')) >= 2""")
+def _(f):
+    return tasks(f).select("p_partkey", F.explode(text.negative_mentions(F.col("task"))).alias("negative"))
+
+
+@query("o186_task_flags", """
+    WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'a KeyError was raised in ' WHEN 1 THEN 'see the stack trace of ' WHEN 2 THEN 'increase coverage of ' ELSE 'the error in ' END || p_name AS t, p_size % 4 AS k FROM part)
+    SELECT p_partkey, k IN (0, 1) AS is_stacktrace, k = 2 AS is_test_driven FROM t""")
 def _(f):
-    return f.conversations.select("conv_id", "turn", F.array_join(text.negative_mentions(F.col("text")), " ").alias("negative")).where("negative <> ''")
+    s = F.col("p_size") % 4
+    task = F.concat(F.when(s == 0, "a KeyError was raised in ").when(s == 1, "see the stack trace of ").when(s == 2, "increase coverage of ").otherwise("the error in "), F.col("p_name"))
+    return f.part.select("p_partkey", text.is_stacktrace(task).alias("is_stacktrace"), text.is_test_driven(task).alias("is_test_driven"))
 
 
 @query("o186_intent", """
@@ -115,16 +133,12 @@ def _(f):
 
 
 @query("o192_containing_scope", """
-    WITH m AS (SELECT r.ref_id, s.scope_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY CASE WHEN s.kind <> 'file' THEN 1 ELSE 2 END, s.end_line - s.start_line, s.scope_id) AS p FROM refs r JOIN scopes s ON s.file_id = r.file_id AND r.start_line BETWEEN s.start_line AND s.end_line WHERE r.ref_id % 10 = 1)
+    WITH m AS (SELECT r.ref_id, s.scope_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY CASE WHEN s.kind <> 'file' THEN 1 ELSE 2 END, s.end_line - s.start_line, s.scope_id) AS p FROM refs r JOIN scopes s ON s.file_id = r.file_id AND r.start_line BETWEEN s.start_line AND s.end_line)
     SELECT ref_id, scope_id FROM m WHERE p = 1""")
 def _(f):
-    return containing_scope(f, f.refs.where("ref_id % 10 = 1"))
-
-
-def containing_scope(f, refs):
     from ..operators import joins
 
-    return joins.innermost(refs.select("ref_id", "file_id", F.col("start_line").alias("_line")), "_line", f.scopes, "ref_id").select("ref_id", "scope_id")
+    return joins.innermost(f.refs.select("ref_id", "file_id", F.col("start_line").alias("_line")), "_line", f.scopes, "ref_id").select("ref_id", "scope_id")
 
 
 @query("o193_sparse_codec", "SELECT p_partkey, round(p_retailprice / 7, 4) AS weight FROM part WHERE round(p_retailprice / 7, 4) <> 0")
@@ -162,22 +176,32 @@ def _(f):
     return f.part.select("p_partkey", text.behaviour_risk(change, F.col("p_partkey") % 20).alias("risk"))
 
 
-@query("o201_cross_references", "SELECT def_uid, 1 AS line, 'Brand' AS target, 'high' AS confidence FROM defs WHERE false")
-def _(f):
-    doc = F.concat(F.lit("Plain words. Brand, no reference here\n"), F.lit("again none"))
-    return f.defs.select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
-
-
-@query("o201_cross_references_found", "SELECT def_uid, 1 AS line, name AS target, 'high' AS confidence FROM defs UNION ALL SELECT def_uid, 2, 'MyType', 'low' FROM defs UNION ALL SELECT def_uid, 2, 'a.b.c', 'medium' FROM defs")
+@query("o201_cross_references", """
+    SELECT def_uid, 1 AS line, name AS target, 'high' AS confidence FROM defs UNION ALL SELECT def_uid, 2, 'Brand' || file_id, 'high' FROM defs UNION ALL SELECT def_uid, 3, 'T' || file_id || '.run', 'high' FROM defs
+    UNION ALL SELECT def_uid, 4, 'Result', 'high' FROM defs UNION ALL SELECT def_uid, 4, 'pkg' || file_id || '.Widget', 'medium' FROM defs WHERE file_id % 2 = 0 UNION ALL SELECT def_uid, 5, 'MyType', 'low' FROM defs""")
 def _(f):
-    doc = F.concat(F.lit("Uses :func:`"), F.col("name"), F.lit("` here\nthen a.b.c of MyType"))
+    k = F.col("file_id").cast("string")
+    qualified = F.when(F.col("file_id") % 2 == 0, F.concat(F.lit(" pkg"), k, F.lit(".Widget"))).otherwise("")
+    doc = F.concat(
+        F.lit("Uses :func:`"), F.col("name"), F.lit("` here\nSee also `Brand"), k, F.lit("`\nas in [T"), k, F.lit(".run](x)\n  Returns: Result or"), qualified,
+        F.lit("\nthen a.b.c of MyType\nclass NoType of plain Words"),
+    )
     return f.defs.select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
 
 
-@query("o202_endpoints", "SELECT id, 'server' AS kind, http_method AS method, url_pattern AS url FROM endpoints WHERE url_pattern <> '/'")
+@query("o202_endpoints", """
+    WITH e AS (SELECT id, lower(http_method) AS m, url_pattern AS u FROM endpoints), l AS (SELECT e.*, unnest(['python', 'javascript', 'go']) AS language FROM e)
+    SELECT id, language, 1 AS line, 'server' AS kind, upper(m) AS method, u AS url FROM l UNION ALL SELECT id, language, 2, 'server', '*', 'p' || id FROM l UNION ALL
+    SELECT id, language, 3, 'client', 'GET', '/' || id FROM l UNION ALL SELECT id, 'javascript', 4, 'server', upper(m), u FROM e""")
 def _(f):
-    source = F.concat(F.lit("@app."), F.lower("http_method"), F.lit('("'), F.col("url_pattern"), F.lit('")\ndef f(): pass'))
-    return f.endpoints.where("url_pattern <> '/'").select("id", F.explode(text.endpoints(source)).alias("x")).select("id", "x.kind", "x.method", "x.url")
+    m, u, k = F.lower("http_method"), F.col("url_pattern"), F.col("id").cast("string")
+    tail = F.concat(F.lit("fetch('/"), k, F.lit("') or fetch('no path')"))
+    python = F.concat(F.lit("@app."), m, F.lit('("'), u, F.lit('")\n  path("p'), k, F.lit('", view)\n'), tail)
+    script = F.concat(F.lit("router."), m, F.lit("(`"), u, F.lit("`, f)\n@Controller('p"), k, F.lit("')\n"), tail, F.lit("\n@"), F.initcap(m), F.lit("('"), u, F.lit("')"))
+    go = F.concat(F.lit("r."), F.upper(m), F.lit('("'), u, F.lit('", f)\nhttp.Handle("p'), k, F.lit('", f)\n'), tail)
+    each = F.array(*[F.struct(F.lit(n).alias("language"), x.alias("source")) for n, x in (("python", python), ("javascript", script), ("go", go))])
+    rows = f.endpoints.select("id", F.explode(each).alias("s")).select("id", "s.*")
+    return rows.select("id", "language", F.explode(text.endpoints(F.col("source"), F.col("language"))).alias("x")).select("id", "language", "x.line", "x.kind", "x.method", "x.url")
 
 
 @query("o203_percent_format", "SELECT s_suppkey, printf('%.1f%%', 100.0 * s_nationkey / 25) AS shown FROM supplier")

@@ -79,17 +79,25 @@ def cobertura_lines(reports: DataFrame) -> DataFrame:
 
 
 def jacoco_lines(reports: DataFrame) -> DataFrame:
-    """Lines where there are any (covered instructions); else methods by their line; else nothing for the file."""
+    """Lines where a file has any (covered instructions); else methods by their line; else as many lines as its classes' counters tell, the covered first."""
     lines = "ARRAY<STRUCT<_nr: LONG, _ci: LONG>>"
-    counter = "ARRAY<STRUCT<_type: STRING, _covered: LONG>>"
-    x = _xml(reports, f"package ARRAY<STRUCT<_name: STRING, sourcefile: ARRAY<STRUCT<_name: STRING, line: {lines}>>, class: ARRAY<STRUCT<_sourcefilename: STRING, method: ARRAY<STRUCT<_line: LONG, counter: {counter}>>>>>>")
+    counter = "ARRAY<STRUCT<_type: STRING, _covered: LONG, _missed: LONG>>"
+    of_class = f"ARRAY<STRUCT<_name: STRING, _sourcefilename: STRING, method: ARRAY<STRUCT<_line: LONG, counter: {counter}>>, counter: {counter}>>"
+    x = _xml(reports, f"package ARRAY<STRUCT<_name: STRING, sourcefile: ARRAY<STRUCT<_name: STRING, line: {lines}>>, class: {of_class}>>")
     p = x.select("report", F.explode("x.package").alias("p"))
+    file, key = ["report", "path"], lambda df: df.select("report", "path").distinct()
     a = p.select("report", "p._name", F.explode("p.sourcefile").alias("s")).select("report", F.concat_ws("/", "_name", "s._name").alias("path"), F.explode("s.line").alias("l"))
     exact = a.select("report", "path", F.col("l._nr").alias("line"), F.col("l._ci").alias("hits"))
-    m = p.select("report", "p._name", F.explode("p.class").alias("c")).select("report", F.concat_ws("/", "_name", "c._sourcefilename").alias("path"), F.explode("c.method").alias("m"))
+    own = F.coalesce("c._sourcefilename", F.concat(F.element_at(F.split("c._name", "/"), -1), F.lit(".java")))
+    c = p.select("report", "p._name", F.explode("p.class").alias("c")).select("report", F.concat_ws("/", "_name", own).alias("path"), "c")
+    m = c.select("report", "path", F.explode("c.method").alias("m")).where("m._line IS NOT NULL")
     hit = F.exists("m.counter", lambda k: (k["_type"] == "METHOD") & (k["_covered"] > 0)).cast("long")
-    rough = m.select("report", "path", F.col("m._line").alias("line"), hit.alias("hits")).join(exact.select("report", "path").distinct(), ["report", "path"], "left_anti")
-    return _all_max(exact.unionByName(rough))
+    rough = m.select("report", "path", F.col("m._line").alias("line"), hit.alias("hits")).join(key(exact), file, "left_anti")
+    n = F.get(F.filter("c.counter", lambda k: k["_type"] == "LINE"), F.lit(0))
+    told = c.select("report", "path", F.coalesce(n["_covered"], F.lit(0)).alias("_c"), (F.coalesce(n["_covered"], F.lit(0)) + F.coalesce(n["_missed"], F.lit(0))).alias("_n"))
+    told = told.join(key(exact), file, "left_anti").join(key(rough), file, "left_anti").where("_n > 0")
+    least = told.select("report", "path", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("line"), "_c").withColumn("hits", (F.col("line") <= F.col("_c")).cast("long")).drop("_c")
+    return _all_max(exact.unionByName(rough).unionByName(least))
 
 
 def clover_lines(reports: DataFrame) -> DataFrame:

@@ -41,6 +41,9 @@ def test_text_functions(spark):
     assert one(spark, text.compact_signature(c, F.lit("(self, x)")), a="getIt") == "get it(x)"
     assert one(spark, text.intent(c), a="Fix the bug and add a test") == "debug"
     assert one(spark, text.negative_mentions(c), a="do it without Redis, not the cache!") == ["redis", "the"]
+    assert one(spark, text.negative_mentions(c), a="Skip Tests, ignore: x and except for y; excluding a-b.") == ["tests", "for", "a-b"]
+    assert one(spark, text.is_stacktrace(c), a="KeyError and an error") is True and one(spark, text.is_stacktrace(c), a="crash and fail") is False
+    assert one(spark, text.is_test_driven(c), a="increase coverage of x") is True and one(spark, text.is_test_driven(c), a="rename x") is False
     assert one(spark, text.is_stacktrace(c), a="raised an exception") is True
     assert one(spark, text.task_paths(c), a="see ./src/a/b.py and c/d.go") == ["src/a/b.py", "c/d.go"]
     assert one(spark, paths.prefixes(c), a="a.b.c") == ["a.b.c", "a.b", "a"]
@@ -48,6 +51,48 @@ def test_text_functions(spark):
     assert one(spark, paths.tree_distance(c, F.lit("a/x/f.py")), a="a/b/c/f.py") == 3
 
 
+def test_cross_references(spark):
+    def found(doc):
+        return [(r["line"], r["target"], r["confidence"]) for r in one(spark, text.cross_references(F.col("a")), a=doc)]
+
+    assert found("Uses :class:`~pkg.Foo` and :const:`MAX`") == [(1, "pkg.Foo", "high"), (1, "MAX", "high")]
+    assert found("See also FooBar\nsee `Baz.run`") == [(1, "FooBar", "high"), (2, "Baz.run", "high")]
+    assert found("[Foo](x) or [Bar.baz][] #Tag") == [(1, "Foo", "high"), (1, "Bar.baz", "high"), (1, "Tag", "high")]
+    assert found("Returns: Result\nRaises: KeyError") == [(1, "Result", "high"), (2, "KeyError", "high")]
+    assert found("calls pkg.Thing.Other once") == [(1, "pkg.Thing.Other", "medium")]
+    assert found("a MyType\nclass MyType:\n\nplain words") == [(1, "MyType", "low")]
+
+
+def test_endpoints(spark):
+    def found(source, language):
+        return [(r["line"], r["kind"], r["method"], r["url"]) for r in one(spark, text.endpoints(F.col("a"), F.lit(language)), a=source)]
+
+    assert found('@app.route("/a")\n@r.post("/b")\npath("c/", v)', "python") == [(1, "server", "*", "/a"), (2, "server", "POST", "/b"), (3, "server", "*", "c/")]
+    assert found('x = APIRouter(tags=[], prefix="/p")', "python") == [(1, "server", "*", "/p")]
+    assert found("app.get('/u', f)\n@Post('/v')\n@Controller('w')\nr.all(`/z`)", "javascript") == [(1, "server", "GET", "/u"), (2, "server", "POST", "/v"), (3, "server", "*", "w"), (4, "server", "*", "/z")]
+    assert found('r.GET("/u", f)\nhttp.HandleFunc("/h", f)', "go") == [(1, "server", "GET", "/u"), (2, "server", "*", "/h"), (2, "server", "*", "/h")]
+    assert found('requests.get("https://x/y")\nhttpx.post("nope")\nfetch("/api")\naxios.put("/q")', "rust") == [(1, "client", "GET", "https://x/y"), (3, "client", "GET", "/api"), (4, "client", "PUT", "/q")]
+
+
+def test_jacoco_falls_back(spark):
+    counters = '<counter type="LINE" missed="2" covered="1"/>'
+    xml = (
+        '<report name="x"><package name="p"><class name="p/A" sourcefilename="A.java"><method name="m" line="3"><counter type="METHOD" missed="0" covered="1"/></method></class>'
+        f'<class name="p/B">{counters}</class><class name="p/C" sourcefilename="C.java">{counters}</class>'
+        '<sourcefile name="C.java"><line nr="9" ci="4"/></sourcefile></package></report>'
+    )
+    got = coverage.jacoco_lines(spark.createDataFrame([("r", xml)], "report string, content string")).collect()
+    assert sorted((r["path"], r["line"], r["hits"]) for r in got) == [("p/A.java", 3, 1), ("p/B.java", 1, 1), ("p/B.java", 2, 0), ("p/B.java", 3, 0), ("p/C.java", 9, 4)]
+
+
+def test_bodies_without_hunks_count_as_changed(spark):
+    rows = "path string, kind string, name string, lexical_path string, signature_hash string, display_name string, start_line long, end_line long"
+    base = spark.createDataFrame([("f", "function", "a", "a", "s", "a()", 1, 5)], rows)
+    assert [r["change"] for r in diff.structural_diff(base, base).collect()] == ["body_changed"]
+    hunks = spark.createDataFrame([("f", [(9, 10)])], "path string, hunks array<struct<start:long,end:long>>")
+    assert diff.structural_diff(base, base, hunks).count() == 0
+
+
 def test_containment_across_buckets(spark):
     spans = spark.createDataFrame([(1, 1, 1000, "all"), (1, 60, 70, "mid"), (2, 1, 5, "other")], "file_id int, start_line int, end_line int, d string")
     points = spark.createDataFrame([(1, 63), (1, 64), (1, 1000), (2, 9)], "file_id int, p int")
