@@ -24,7 +24,9 @@ def _cut(lines: DataFrame, key: str, begins: Column, name: Column) -> DataFrame:
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("_p", "line")).select(key, (F.col("_p") + 1).alias("i"), "line")
+    # the outer form: for the inner one the optimiser splits each text twice
+    found = docs.where(F.col(text).isNotNull()).select(key, F.posexplode_outer(F.split(text, "\n")).alias("_p", "line"))
+    return found.select(key, (F.col("_p") + 1).alias("i"), "line")
 
 
 def by_pattern(docs: DataFrame, key: str, pattern: str, first: str, text: str = "text") -> DataFrame:

@@ -91,6 +91,15 @@ def symbol_search(defs: DataFrame, query: str, order: list[str], limit: int, fal
     return found.orderBy(F.col("score").desc(), *order).limit(limit)
 
 
+def exploded(df: DataFrame, columns: list, array: Column, name: str) -> DataFrame:
+    """One row for each element of a costly array.
+
+    The outer form: for the inner one the optimiser adds a filter by the array's
+    size, pushes it down to the scan, and so makes the array twice.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TERM), lambda t: t != "")
 
@@ -98,24 +107,27 @@ def tokens(text: Column) -> Column:
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """term, key, tf, dl: the inverted index, one row for each term of a document."""
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
-    terms = words.select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term"))
+    terms = exploded(words, [key, F.size("_t").cast("long").alias("dl")], F.col("_t"), "term")
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str, query_key: str, text: str = "text", query_text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """query_key, key, score for every document that shares a term with a query.
 
-    Only the queries' terms are looked for: they are broadcast as long as they
-    are few (the caller gives a stated query set), and documents are counted
-    before anything is shuffled.
+    Only the queries' terms are looked for, and a document's are counted before
+    anything is shuffled. The planner broadcasts the queries' terms if they are
+    few. Texts are split once: a term's documents are counted from the same
+    exchange that the scores read.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     vocabulary = asked.select("term").distinct()
     words = docs.select(key, tokens(F.col(text)).alias("_t"))
-    totals = words.agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))
-    terms = words.select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+    # the same count of letters' and digits' runs, without making them
+    totals = docs.agg(F.count("*").alias("_n"), F.avg(F.coalesce(F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{N}]+")), F.lit(0))).alias("_avg"))
+    terms = exploded(words, [key, F.size("_t").cast("long").alias("dl")], F.col("_t"), "term").join(vocabulary, "term", "left_semi")
     found = terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # needs tf and dl, so that both readers of found have one plan and share its exchange
+    df = found.groupBy("term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("dl") > 0), 1)).alias("df"))
     idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
     scored = found.join(df, "term").crossJoin(F.broadcast(totals)).select(key, "term", weight.alias("_w"))  # one row of totals

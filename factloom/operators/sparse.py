@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import tokens
+from .search import exploded, tokens
 
 
 def tf_idf(docs: DataFrame, key: str, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
     """key, term, weight = (1 + ln tf) * ln(1 + n / df): stands in for a learned sparse encoder, whose weights are not at hand."""
-    terms = docs.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    terms = exploded(docs, [key], tokens(F.col(text)), "term")
     if vocabulary is not None:
         terms = terms.join(vocabulary, "term", "left_semi")
     tf = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # needs tf, so that both readers of tf have one plan and share its exchange
+    df = tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
     n = docs.agg(F.count("*").alias("_n"))
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * F.log(1 + F.col("_n") / F.col("df"))).alias("weight"))  # one row
 

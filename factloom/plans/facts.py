@@ -122,6 +122,15 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of texts over all cores, if its scan has fewer splits than there are cores; larger ones aren't shuffled.
+
+    A small table's only row group is one task's, however many splits there are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 class Facts:
     """The fact tables and the driver's tables of a folder, by attribute."""
 
@@ -132,5 +141,6 @@ class Facts:
         if name in FACTS:
             return fact(self.spark, self.sf_dir, name)
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table) if name == "documents" else table
         raise AttributeError(name)
