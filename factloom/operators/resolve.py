@@ -97,6 +97,111 @@ def import_candidates(literal: Column, importer: Column) -> Column:
     return F.array(*plain, *rooted)
 
 
+# What is tried for a file's name, in this order.
+JS_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".mts"]
+INCLUDE_FOLDERS = ["include", "src", "lib", "third_party"]
+LUA_FOLDERS = ["", "src/", "lib/", "lua/"]
+IMPORT_KINDS = {
+    "python": ["python_import", "python_from"], "js": ["js_import", "js_require", "js_dynamic_import", "js_reexport"], "c": ["c_include"], "lua": ["lua_require"],
+}
+
+
+def normal_path(path: Column) -> Column:
+    """Without "." parts, and with each ".." taking the part before it."""
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part.isin("", "."), done).otherwise(F.concat(done, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
+
+
+def path_candidates(literal: Column, importer: Column, kind: Column) -> Column:
+    """Paths that an import may mean by its kind, best first; none for kinds that name declared modules."""
+    folder = F.regexp_replace(importer, "/?[^/]*$", "")
+    beside = normal_path(F.concat_ws("/", folder, literal))
+    stem = F.regexp_replace(beside, r"\.(js|jsx|mjs)$", "")
+    js = F.array(beside, *[F.concat(stem, F.lit(x)) for x in JS_EXTENSIONS], *[F.concat(beside, F.lit(f"/index{x}")) for x in JS_EXTENSIONS])
+    c = F.array(beside, literal, *[F.concat(F.lit(f"{x}/"), literal) for x in INCLUDE_FOLDERS])
+    plain = F.translate(literal, ".", "/")
+    lua = F.array(*[F.concat(F.lit(x), plain, F.lit(y)) for x in LUA_FOLDERS for y in (".lua", "/init.lua")])
+    none = F.array().cast("array<string>")
+    return (
+        F.when(kind.isin(IMPORT_KINDS["python"]), import_candidates(literal, importer)).when(kind.isin(IMPORT_KINDS["js"]) & literal.startswith("."), js)
+        .when(kind.isin(IMPORT_KINDS["c"]), c).when(kind.isin(IMPORT_KINDS["lua"]), lua).otherwise(none)
+    )
+
+
+def module_candidates(literal: Column, kind: Column) -> Column:
+    """Declared modules that an import of another kind may name: itself, then its beginnings, the longest first."""
+    mark = F.when(kind == "rust_use", "::").when(kind == "go_import", "/").otherwise(".")
+    parts = F.split(F.when(kind == "php_use", F.translate(literal, "\\", ".")).otherwise(literal), F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
+    whole = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    known = [k for kinds in IMPORT_KINDS.values() for k in kinds]
+    dotted = F.transform(whole, lambda m: F.when(mark == "::", F.replace(m, F.lit("."), F.lit("::"))).when(mark == "/", F.translate(m, ".", "/")).otherwise(m))
+    return F.when(kind.isin(known), F.array().cast("array<string>")).otherwise(dotted)
+
+
+def import_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """import_uid, path for imports (import_uid, source_literal, import_kind, importer_path): the first candidate that is a file.
+
+    A module's file for a beginning of the literal must bear the name of what follows it.
+    """
+    literal, kind = F.col("source_literal"), F.col("import_kind")
+    by_path = imports.select("import_uid", F.posexplode(path_candidates(literal, F.col("importer_path"), kind)).alias("_p", "path"))
+    found = by_path.join(files.select("path"), "path").select("import_uid", "_p", "path")
+    tail = F.lower(F.regexp_extract(literal, r"([^./:\\]+)$", 1))
+    by_module = imports.select("import_uid", tail.alias("_tail"), F.posexplode(module_candidates(literal, kind)).alias("_p", "declared_module"))
+    stem = F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))
+    met = by_module.join(files.select("declared_module", "path"), "declared_module").where((F.col("_p") == 0) | (stem == F.col("_tail")))
+    every = found.unionByName(met.select("import_uid", "_p", "path"))
+    return every.groupBy("import_uid").agg(F.min(F.struct("_p", "path"))["path"].alias("path"))
+
+
+def by_package(refs: DataFrame, packages: DataFrame, defs: DataFrame, exported: Column | None = None) -> DataFrame:
+    """ref_id, def_uid for refs (ref_id, file_id, name): a definition in a file that the reference's file imports whole (file_id, source_file_id)."""
+    offered = defs.where(exported) if exported is not None else defs
+    offered = offered.select(F.col("file_id").alias("source_file_id"), "name", "def_uid")
+    met = refs.select("ref_id", "file_id", "name").join(packages.distinct(), "file_id").join(offered, ["source_file_id", "name"])
+    return met.groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+
+
+def by_go_dot(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
+    """Go's dot imports: of the folder that is the longest ending of the import path, the last file without tests; capitalised names."""
+    go = files.where(F.col("path").rlike(r"/[^/]*\.go$") & ~F.col("path").endswith("_test.go"))
+    folders = go.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("package")).agg(F.max("id").alias("source_file_id"))
+    dots = imports.where("import_kind = 'go_import' AND imported_name = '*'").select("file_id", F.array_compact(F.transform(F.split("source_literal", "/"), lambda x: F.nullif(x, F.lit("")))).alias("_s")).distinct()
+    n = F.size("_s")
+    endings = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.col("_s"), i, n), "/"))
+    asked = dots.where(n > 0).select("file_id", F.col("_s"), F.posexplode(endings).alias("_p", "package"))
+    best = asked.join(folders, "package").groupBy("file_id", "_s").agg(F.min(F.struct("_p", "source_file_id"))["source_file_id"].alias("source_file_id"))
+    return by_package(refs, best.select("file_id", "source_file_id"), defs, F.col("name").rlike("^[A-Z]"))
+
+
+def rust_module(path: Column) -> Column:
+    """Module path of a Rust file."""
+    stem = F.regexp_replace(F.regexp_replace(path, r"\.rs$", ""), r"/(lib|mod)$", "")
+    return F.when(stem.endswith("/main"), "crate").otherwise(F.regexp_replace(F.regexp_replace(stem, "/", "::"), "^src::", "crate::"))
+
+
+def by_rust_glob(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
+    """Rust's glob imports: the file of the module, or else the first whose module ends with the same segment."""
+    modules = files.where(F.col("path").endswith(".rs")).select(F.col("id").alias("source_file_id"), rust_module(F.col("path")).alias("_m"))
+    last = lambda c: F.element_at(F.split(c, "::"), -1).alias("_last")
+    globs = imports.where("import_kind = 'rust_use' AND imported_name = '*'").select("file_id", F.col("source_literal").alias("_l")).distinct()
+    met = globs.select("file_id", "_l", last(F.col("_l"))).join(modules.select("source_file_id", "_m", last(F.col("_m"))), "_last")
+    best = met.groupBy("file_id", "_l").agg(F.min(F.struct(F.col("_m") != F.col("_l"), "source_file_id"))["source_file_id"].alias("source_file_id"))
+    return by_package(refs, best.select("file_id", "source_file_id"), defs)
+
+
+def by_java_star(refs: DataFrame, imports: DataFrame, defs: DataFrame, kinds: list[str]) -> DataFrame:
+    """Java's star imports: a type of the name in the imported namespace."""
+    stars = imports.where("import_kind = 'java_import' AND imported_name = '*'").select("file_id", F.col("source_literal").alias("namespace")).distinct()
+    types = defs.where(F.col("kind").isin(kinds)).select("namespace", "name", "def_uid")
+    return refs.select("ref_id", "file_id", "name").join(stars, "file_id").join(types, ["namespace", "name"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+
+
 def trace_members(starts: DataFrame, members: DataFrame, depth: int | None = None) -> DataFrame:
     """Walk a chain of members from a type, up to depth links or to its end: (id, type, chain array) to (id, type, steps, confidence)."""
     state = starts.select("id", F.col("type"), "chain", F.lit(0).alias("steps"), F.lit(True).alias("on"))

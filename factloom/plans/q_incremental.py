@@ -72,6 +72,64 @@ def _(f):
     return epochs.read().groupBy("epoch_id").agg(F.count("*").alias("n"))
 
 
+def folder(f, name):
+    """A fresh folder that all executors see."""
+    import uuid
+
+    from ..operators.graph import shared_folder
+
+    return f"{shared_folder(f.spark)}/factloom-{name}/{uuid.uuid4().hex}"
+
+
+@query("o232_epoch_recovery", "SELECT epoch_id, count(*) AS n, '8' AS discarded FROM snapshots WHERE epoch_id = 7 GROUP BY 1")
+def _(f):
+    epochs = ev.Epochs(f.spark, folder(f, "epochs"))
+    epochs.publish(f.snapshots.where("epoch_id = 7"), 7)
+    f.snapshots.where("epoch_id = 6").write.parquet(f"{epochs.root}/epoch=8")  # a writer that died before its pointer
+    gone = ",".join(map(str, epochs.discard_unfinished()))
+    return epochs.read().groupBy("epoch_id").agg(F.count("*").alias("n")).withColumn("discarded", F.lit(gone))
+
+
+TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query("o039_lexical_index", f"""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ring the ' || lang ELSE text END AS text FROM documents WHERE doc_id % 3 <> 1), w AS (SELECT doc_id, {TOK.format('text')} AS t FROM d),
+         u AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS dl, unnest(t) AS term FROM w)
+    SELECT doc_id, term, count(*) AS tf, max(dl) AS dl FROM u WHERE term IN ('ring', 'the', 'und', 'de', 'no such') GROUP BY 1, 2""")
+def _(f):
+    """Published in three parts: all documents; a third anew; a third removed."""
+    from ..operators.index import LexicalIndex
+
+    index = LexicalIndex(f.spark, folder(f, "index"), "doc_id")
+    index.publish(f.documents.select("doc_id", "text"))
+    index.publish(f.documents.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("ring the "), "lang").alias("text")))
+    index.publish(f.documents.limit(0).select("doc_id", "text"), f.documents.where("doc_id % 3 = 1").select("doc_id"))
+    return index.look_up(["ring", "the", "und", "de", "no such"]).drop("bucket")
+
+
+@query("o035_json_lines_merge", "SELECT doc_id, lang, 'part-b' AS repo FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, 'part-a' FROM documents WHERE doc_id % 2 = 1")
+def _(f):
+    from ..sources.tables import json_lines
+
+    root = folder(f, "lines")
+    for name, rest in (("part-b", 0), ("part-a", 1)):
+        f.documents.where(F.col("doc_id") % 2 == rest).select("doc_id", "lang").write.json(f"{root}/{name}")
+    merged = json_lines(f.spark, f"{root}/*", "doc_id long, lang string")
+    merged.write.parquet(f"{root}/merged")
+    return f.spark.read.parquet(f"{root}/merged")
+
+
+@query("o041_health_snapshots", "SELECT CAST(e AS BIGINT) AS epoch, (SELECT count(*) FROM files WHERE id % 5 < e) AS files FROM (SELECT unnest([3, 4, 5]) AS e)")
+def _(f):
+    from ..sources.tables import append_snapshot, last_snapshots
+
+    root = folder(f, "health")
+    for e in range(1, 6):
+        append_snapshot(f.files.where(F.col("id") % 5 < e).agg(F.count("*").alias("files")).withColumn("epoch", F.lit(e)), root)
+    return last_snapshots(f.spark, root, "epoch long, files long", 3)
+
+
 @query("o038_upsert", """
     WITH c AS (SELECT doc_id, quality, toxic FROM labels), n AS (SELECT doc_id, CAST(1 AS INTEGER) AS quality, CAST(0 AS INTEGER) AS toxic FROM documents WHERE doc_id % 10 = 0)
     SELECT * FROM n UNION ALL SELECT * FROM c WHERE doc_id NOT IN (SELECT doc_id FROM n)""")

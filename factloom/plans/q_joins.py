@@ -232,6 +232,59 @@ def _(f):
     return asked.join(f.files.select("path"), "path").groupBy("import_uid").agg(F.min("path").alias("path"))
 
 
+IMPORTS = """
+    SELECT 'p' || id AS import_uid, 'python_from' AS import_kind, '.m' || id AS source_literal, path AS importer_path FROM files UNION ALL
+    SELECT 'j' || id, 'js_import', '../pkg' || (id % 20) || '/m' || id || '.js', 'src/app/main.ts' FROM files UNION ALL
+    SELECT 'c' || id, 'c_include', 'pkg' || (id % 20) || '/m' || id || '.md', 'tests/a.c' FROM files UNION ALL
+    SELECT 'l' || id, 'lua_require', 'pkg' || (id % 20) || '.m' || id, 'a.lua' FROM files UNION ALL
+    SELECT 'd' || id, 'java_import', declared_module || CASE WHEN id % 2 = 0 THEN '' ELSE '.M' || id END, path FROM files"""
+
+
+@query("o101_import_kinds", f"""
+    WITH known AS (SELECT path, declared_module, id FROM files UNION ALL SELECT 'src/pkg' || (id % 20) || '/m' || id || '.ts', 'none', id FROM files UNION ALL SELECT 'lib/pkg' || (id % 20) || '/m' || id || '/init.lua', 'none', id FROM files WHERE id % 3 = 0),
+         i AS ({IMPORTS}), n AS (SELECT *, CAST(substr(import_uid, 2) AS BIGINT) AS k FROM i),
+         x AS (SELECT import_uid, split_part(importer_path, '/', 1) || '/' || split_part(importer_path, '/', 2) || '/m' || k || '.py' AS path FROM n WHERE import_kind = 'python_from' UNION ALL
+               SELECT import_uid, 'src/pkg' || (k % 20) || '/m' || k || '.ts' FROM n WHERE import_kind = 'js_import' UNION ALL SELECT import_uid, 'src/' || source_literal FROM n WHERE import_kind = 'c_include' UNION ALL
+               SELECT import_uid, 'lib/pkg' || (k % 20) || '/m' || k || '/init.lua' FROM n WHERE import_kind = 'lua_require' UNION ALL
+               SELECT import_uid, importer_path FROM n WHERE import_kind = 'java_import' AND (k % 2 = 0 OR NOT starts_with(importer_path, 'tests/')))
+    SELECT x.import_uid, x.path FROM x WHERE x.path IN (SELECT path FROM known)""")
+def _(f):
+    k, folder = F.col("id").cast("string"), F.concat(F.lit("pkg"), (F.col("id") % 20).cast("string"))
+    name = F.concat(folder, F.lit("/m"), k)
+
+    def kind(mark, kind, literal, importer):
+        return f.files.select(F.concat(F.lit(mark), k).alias("import_uid"), F.lit(kind).alias("import_kind"), literal.alias("source_literal"), importer.alias("importer_path"))
+
+    every = kind("p", "python_from", F.concat(F.lit(".m"), k), F.col("path")).unionByName(kind("j", "js_import", F.concat(F.lit("../"), name, F.lit(".js")), F.lit("src/app/main.ts")))
+    every = every.unionByName(kind("c", "c_include", F.concat(name, F.lit(".md")), F.lit("tests/a.c"))).unionByName(kind("l", "lua_require", F.translate(name, "/", "."), F.lit("a.lua")))
+    every = every.unionByName(kind("d", "java_import", F.concat("declared_module", F.when(F.col("id") % 2 == 0, "").otherwise(F.concat(F.lit(".M"), k))), F.col("path")))
+    more = f.files.select(F.concat(F.lit("src/"), name, F.lit(".ts")).alias("path"), F.lit("none").alias("declared_module"))
+    lua = f.files.where("id % 3 = 0").select(F.concat(F.lit("lib/"), name, F.lit("/init.lua")).alias("path"), F.lit("none").alias("declared_module"))
+    return resolve.import_paths(every, f.files.select("path", "declared_module").unionByName(more).unionByName(lua))
+
+
+@query("o096_wildcard_imports", """
+    WITH r AS (SELECT ref_id, file_id, d.name, kind FROM refs JOIN (SELECT def_uid AS target_def_uid, name, kind FROM defs) d USING (target_def_uid)),
+         c AS (SELECT def_uid, file_id, upper(substr(name, 1, 1)) || substr(name, 2) AS name FROM defs), u AS (SELECT ref_id, file_id, upper(substr(name, 1, 1)) || substr(name, 2) AS name FROM r),
+         g AS (SELECT split_part(path, '/', 2) AS package, max(id) AS source FROM files WHERE ends_with(path, '.go') AND starts_with(path, 'src/') GROUP BY 1)
+    SELECT 'go' AS language, ref_id, min(def_uid) AS def_uid FROM u JOIN g ON package = 'pkg' || (u.file_id % 20) JOIN c ON c.file_id = source AND c.name = u.name GROUP BY 2
+    UNION ALL SELECT 'rust', ref_id, min(def_uid) FROM r JOIN defs d ON d.file_id = r.file_id AND d.name = r.name GROUP BY 2
+    UNION ALL SELECT 'java', ref_id, min(def_uid) FROM r JOIN (SELECT file_id AS f, min(namespace) AS ns FROM defs GROUP BY 1) n ON n.f = r.file_id JOIN defs d ON d.namespace = ns AND d.name = r.name WHERE d.kind IN ('class', 'interface') GROUP BY 2""")
+def _(f):
+    refs = f.refs.join(f.defs.select(F.col("def_uid").alias("target_def_uid"), "name"), "target_def_uid").select("ref_id", "file_id", "name")
+    upper = F.concat(F.upper(F.substring("name", 1, 1)), F.expr("substring(name, 2)")).alias("name")
+    folder, star = F.concat(F.lit("pkg"), (F.col("id") % 20).cast("string")), F.lit("*").alias("imported_name")
+    go = f.files.select(F.col("id").alias("file_id"), F.concat(F.lit("example.org/x/src/"), folder).alias("source_literal"), star, F.lit("go_import").alias("import_kind"))
+    found = resolve.by_go_dot(refs.select("ref_id", "file_id", upper), go, f.defs.select("def_uid", "file_id", upper), f.files)
+    rust = f.files.select(F.col("id").alias("file_id"), F.concat(F.lit("crate::m"), F.col("id").cast("string")).alias("source_literal"), star, F.lit("rust_use").alias("import_kind"))
+    sources = f.files.select("id", F.concat(F.lit("src/m"), F.col("id").cast("string"), F.lit("/mod.rs")).alias("path"))
+    globs = resolve.by_rust_glob(refs, rust, f.defs, sources)
+    java = f.defs.groupBy("file_id").agg(F.min("namespace").alias("source_literal")).select("file_id", "source_literal", star, F.lit("java_import").alias("import_kind"))
+    stars = resolve.by_java_star(refs, java, f.defs, ["class", "interface"])
+    parts = [x.select(F.lit(n).alias("language"), "ref_id", "def_uid") for n, x in (("go", found), ("rust", globs), ("java", stars))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("o102_late_resolution", """
     WITH o AS (SELECT import_uid, source_literal FROM imports WHERE resolved_path IS NULL)
     SELECT import_uid, min(f.path) AS resolved_path FROM o JOIN files f ON f.declared_module = source_literal GROUP BY 1""")

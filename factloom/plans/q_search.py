@@ -112,6 +112,30 @@ def _(f):
     return f.files.select("path", paths.artifact(p).alias("artifact"), paths.is_test(p).alias("is_test"), paths.diff_category(p).alias("category"))
 
 
+NAMES = "['src/a/__init__.py', 'web/index.ts', 'tests/unit/test_x.py', 'pkg/x_test.py', 'src/mod.rs', 'setup.cfg', 'conf/app.yaml', 'app.yaml', 'docs/guide.txt', 'README', 'src/pom.xml', 'conf/data.xml', 'lib/main.go']"
+
+
+def named_paths(f):
+    """Each file beside a name that tells its class."""
+    names = F.expr("array" + NAMES.replace("[", "(").replace("]", ")"))
+    return f.files.select("id", F.get(names, (F.col("id") % 13).cast("int")).alias("path"))
+
+
+@query("o057_test_and_barrel_files", f"SELECT id, path, id % 13 IN (2, 3) AS is_test, id % 13 IN (0, 1, 4) AS is_barrel FROM (SELECT id, {NAMES}[id % 13 + 1] AS path FROM files)")
+def _(f):
+    p = F.col("path")
+    return named_paths(f).select("id", "path", paths.is_test(p).alias("is_test"), paths.is_barrel(p).alias("is_barrel"))
+
+
+@query("o058_diff_category", f"""
+    SELECT id, path, CASE id % 13 WHEN 2 THEN 'test' WHEN 3 THEN 'test' WHEN 5 THEN 'build' WHEN 7 THEN 'config' WHEN 8 THEN 'docs' WHEN 9 THEN 'docs' WHEN 10 THEN 'build' ELSE 'prod' END AS category,
+        CASE id % 13 WHEN 2 THEN 'test' WHEN 3 THEN 'test' WHEN 5 THEN 'config' WHEN 6 THEN 'config' WHEN 7 THEN 'config' WHEN 8 THEN 'doc' WHEN 10 THEN 'config' WHEN 11 THEN 'config' ELSE 'code' END AS artifact
+    FROM (SELECT id, {NAMES}[id % 13 + 1] AS path FROM files)""")
+def _(f):
+    p = F.col("path")
+    return named_paths(f).select("id", "path", paths.diff_category(p).alias("category"), paths.artifact(p).alias("artifact"))
+
+
 @query("o059_rename_certainty", """
     SELECT ref_id, CASE WHEN ref_tier IN ('proven', 'strong') THEN 'high' WHEN ref_tier = 'anchored' THEN 'medium' WHEN certainty = 'certain' THEN 'high' ELSE 'low' END AS level FROM refs""")
 def _(f):

@@ -169,3 +169,10 @@ def _(f):
 def _(f):
     one = F.format_string("diff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -%d,2 +10,3 @@ x\n-a\n+b\n@@ -5,0 +9,1 @@\n+c", "path", "path", "path", "path", "line")
     return reports.diff_hunks(whole(lint(f, "c").withColumn("_f", one)))
+
+
+@query("o014_walk")
+def _(f):
+    from ..sources.files import walk
+
+    return walk(f.spark, f.sf_dir, rules=["# tables of events are left out", "events.*", "!*/part-*"]).select("path", "size")
