@@ -6,6 +6,8 @@ resolves a reference, in a fixed order, in place of updates in place.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,12 +137,15 @@ def path_candidates(literal: Column, importer: Column, kind: Column) -> Column:
 
 def module_candidates(literal: Column, kind: Column) -> Column:
     """Declared modules that an import of another kind may name: itself, then its beginnings, the longest first."""
-    mark = F.when(kind == "rust_use", "::").when(kind == "go_import", "/").otherwise(".")
-    parts = F.split(F.when(kind == "php_use", F.translate(literal, "\\", ".")).otherwise(literal), F.concat(F.lit("\\Q"), mark, F.lit("\\E")))
-    whole = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    plain = F.when(kind == "php_use", F.translate(literal, "\\", ".")).otherwise(literal)
+
+    def beginnings(mark: str) -> Column:
+        parts = F.split(plain, re.escape(mark))
+        return F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), mark))
+
     known = [k for kinds in IMPORT_KINDS.values() for k in kinds]
-    dotted = F.transform(whole, lambda m: F.when(mark == "::", F.replace(m, F.lit("."), F.lit("::"))).when(mark == "/", F.translate(m, ".", "/")).otherwise(m))
-    return F.when(kind.isin(known), F.array().cast("array<string>")).otherwise(dotted)
+    none = F.array().cast("array<string>")
+    return F.when(kind.isin(known), none).when(kind == "rust_use", beginnings("::")).when(kind == "go_import", beginnings("/")).otherwise(beginnings("."))
 
 
 def import_paths(imports: DataFrame, files: DataFrame) -> DataFrame:

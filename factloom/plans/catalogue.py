@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_aggregates, q_graph, q_harvest, q_impact, q_incremental, q_joins, q_lookup, q_ranking, q_search, q_sources, q_text, registry  # noqa: F401
+from . import q_aggregates, q_graph, q_harvest, q_impact, q_incremental, q_joins, q_lookup, q_models, q_ranking, q_search, q_sources, q_text, registry  # noqa: F401
 from .facts import Facts
 
 
