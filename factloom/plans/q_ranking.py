@@ -82,7 +82,7 @@ def _(f):
     kept = ranking.prune_files(ranking.fuse_candidates(candidates(f)))
     n = ranking.elbow(kept, "query_id", "rrf_score", "def_uid")
     r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rrf_score").desc(), "def_uid"))
-    return kept.withColumn("rank", r.cast("long")).join(F.broadcast(n), "query_id").where("rank <= n").select("query_id", "def_uid", "rank")
+    return kept.withColumn("rank", r.cast("long")).join(n, "query_id").where("rank <= n").select("query_id", "def_uid", "rank")
 
 
 RANKED = "SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank, coalesce(quality, 0) AS label, coalesce(quality, 0) * 2 - CASE WHEN toxic = 1 THEN coalesce(quality, 0) ELSE 0 END AS gain FROM documents LEFT JOIN labels USING (doc_id)"
