@@ -126,19 +126,24 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found if found is not None else nodes_of(edges).select("node", F.col("node").alias("component")).limit(0)
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community by weighted label propagation over the undirected graph, ties to the smaller label.
+def communities(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, community by weighted label propagation over the undirected graph, ties to the smaller label; until none moves, or up to rounds.
 
     Stands in for modularity optimisation, whose result depends on the order of visits.
     """
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w")))
     labels = cut(nodes_of(both).withColumn("community", F.col("node")))
-    for _ in range(rounds):
+    done = 0
+    while done != rounds:
         votes = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("_w"))
         best = votes.groupBy("node").agg(F.min_by("community", F.struct(-F.col("_w"), F.col("community"))).alias("_new"))
         joined = labels.join(best, "node", "left")
         # a smaller label is taken, a larger one isn't: this ends
-        labels = cut(joined.select("node", F.least("community", F.coalesce("_new", "community")).alias("community")))
+        new = cut(joined.select("node", F.least("community", F.coalesce("_new", "community")).alias("community"), (F.col("_new") < F.col("community")).alias("_moved")))
+        moved = new.where("_moved").take(1)
+        labels, done = new.select("node", "community"), done + 1
+        if not moved:
+            break
     return labels
 
 
@@ -148,6 +153,22 @@ def most_central(ranks: DataFrame, share: float = 0.1) -> DataFrame:
     return ranks.orderBy(F.col("score").desc(), "node").limit(max(1, int(n * share)))
 
 
+def analyse(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, cycles, in_cycles (their nodes), largest_cycle, communities, central (the node of the highest rank)."""
+    edges = cut(edges.select("src", "dst").distinct())
+    cycles = strongly_connected(edges).groupBy("component").agg(F.count("*").alias("n"))
+    parts = [
+        nodes_of(edges).agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges")),
+        cycles.agg(F.count("*").alias("cycles"), F.coalesce(F.sum("n"), F.lit(0)).alias("in_cycles"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_cycle")),
+        communities(edges).agg(F.countDistinct("community").alias("communities")),
+        page_rank(edges).agg(F.min_by("node", F.struct(-F.round("score", 12), F.col("node"))).alias("central")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
 def touched_cycles(components: DataFrame, changed: DataFrame) -> DataFrame:
     """Components with a changed node."""
     return components.join(changed.select("node").distinct(), "node", "left_semi").select("component").distinct()

@@ -85,6 +85,33 @@ def co_implementors(impls: DataFrame, of: DataFrame) -> DataFrame:
     return mine.join(impls.withColumnRenamed("implementor_def_uid", "other"), "interface_name").where("def_uid <> other").select("def_uid", "other").distinct()
 
 
+def hierarchy(impls: DataFrame, defs: DataFrame, of: DataFrame) -> DataFrame:
+    """def_uid, relation, other of each definition in of, one step away.
+
+    interface: the names it implements; super: the definitions of those names;
+    sub: the definitions that implement its own name.
+    """
+    pairs = impls.select("implementor_def_uid", "interface_name").distinct()
+    mine = of.select("def_uid").distinct()
+    named = defs.select(F.col("def_uid").alias("other"), F.col("name").alias("interface_name"))
+    up = pairs.join(mine.select(F.col("def_uid").alias("implementor_def_uid")), "implementor_def_uid", "left_semi").withColumnRenamed("implementor_def_uid", "def_uid")
+    own = defs.join(mine, "def_uid", "left_semi").select("def_uid", F.col("name").alias("interface_name"))
+    down = own.join(pairs.withColumnRenamed("implementor_def_uid", "other"), "interface_name")
+    rows = [up.select("def_uid", F.lit("interface").alias("relation"), F.col("interface_name").alias("other"))]
+    rows += [x.where("def_uid <> other").select("def_uid", F.lit(r).alias("relation"), "other").distinct() for r, x in (("super", up.join(named, "interface_name")), ("sub", down))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def implementors(impls: DataFrame, interfaces: list[str]) -> DataFrame:
+    """The definitions that implement a stated list of interfaces."""
+    return impls.where(F.col("interface_name").isin(interfaces)).select("implementor_def_uid", "interface_name").distinct()
+
+
+def cross_references_of(xrefs: DataFrame, of: list[str]) -> DataFrame:
+    """References of documentation from or to a stated list of definitions."""
+    return xrefs.where(F.col("source_def_uid").isin(of) | F.col("target_def_uid").isin(of)).select("id", "source_def_uid", "target_def_uid", "confidence")
+
+
 def first_per(df: DataFrame, key: str, order: list) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")

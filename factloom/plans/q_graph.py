@@ -74,16 +74,27 @@ def _(f):
     return e.agg(F.count("*").alias("edges")).crossJoin(graph.nodes_of(e).agg(F.count("*").alias("nodes")))  # one row each
 
 
+# cycles, communities and ranks have no SQL: tests/test_whole.py looks at a small graph
+@query("o211_graph_analysis")
+def _(f):
+    return graph.analyse(file_edges(f))
+
+
 @query("o212_repo_briefing", f"""
     SELECT 'hub' AS section, def_uid AS item, CAST(n AS DOUBLE) AS value FROM (SELECT target_def_uid AS def_uid, count(DISTINCT file_id) AS n FROM refs WHERE target_def_uid IS NOT NULL GROUP BY 1 ORDER BY n DESC, def_uid LIMIT 5)
-    UNION ALL SELECT 'language', language_family, CAST(count(*) AS DOUBLE) FROM files GROUP BY 2 UNION ALL SELECT 'lint', 'errors', CAST(sum(error_count) AS DOUBLE) FROM lint""")
+    UNION ALL SELECT 'language', language_family, CAST(count(*) AS DOUBLE) FROM files GROUP BY 2 UNION ALL SELECT 'lint', 'errors', CAST(sum(error_count) AS DOUBLE) FROM lint
+    UNION ALL SELECT 'coverage', 'line_rate', round(avg(line_rate), 6) FROM coverage WHERE NOT stale UNION ALL
+    SELECT 'file', path, CAST(n AS DOUBLE) FROM (SELECT dst AS path, count(*) AS n FROM ({EDGES}) GROUP BY 1 ORDER BY n DESC, path LIMIT 5)""")
 def _(f):
     from ..operators import aggregates
 
     hubs = aggregates.caller_counts(f.defs, f.refs).orderBy(F.col("hub_score").desc(), "def_uid").limit(5).select(F.lit("hub").alias("section"), F.col("def_uid").alias("item"), F.col("hub_score").cast("double").alias("value"))
     langs = f.files.groupBy("language_family").count().select(F.lit("language").alias("section"), F.col("language_family").alias("item"), F.col("count").cast("double").alias("value"))
     lint = f.lint.agg(F.sum("error_count").cast("double").alias("value")).select(F.lit("lint").alias("section"), F.lit("errors").alias("item"), "value")
-    return hubs.unionByName(langs).unionByName(lint)
+    rate = f.coverage.where("NOT stale").agg(F.round(F.avg("line_rate"), 6).alias("value")).select(F.lit("coverage").alias("section"), F.lit("line_rate").alias("item"), "value")
+    read = file_edges(f).groupBy(F.col("dst").alias("item")).agg(F.count("*").cast("double").alias("value")).orderBy(F.col("value").desc(), "item").limit(5)
+    files = read.select(F.lit("file").alias("section"), "item", "value")
+    return hubs.unionByName(langs).unionByName(lint).unionByName(rate).unionByName(files)
 
 
 TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"

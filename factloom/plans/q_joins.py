@@ -38,12 +38,25 @@ def _(f):
 
 @query("o073_hierarchy", "SELECT DISTINCT implementor_def_uid, interface_name FROM impls WHERE interface_name = 'J7'")
 def _(f):
-    return f.impls.where("interface_name = 'J7'").distinct()
+    return joins.implementors(f.impls, ["J7"])
+
+
+@query("o073_super_and_sub_types", """
+    WITH i AS (SELECT DISTINCT * FROM (SELECT implementor_def_uid, interface_name FROM impls UNION ALL SELECT d.def_uid, e.name FROM defs d JOIN defs e ON e.def_uid = 'd' || CAST(CAST(substr(d.def_uid, 2) AS BIGINT) + 1 AS STRING) WHERE e.kind = 'interface'))
+    SELECT implementor_def_uid AS def_uid, 'interface' AS relation, interface_name AS other FROM i UNION ALL
+    SELECT DISTINCT implementor_def_uid, 'super', def_uid FROM i JOIN defs ON name = interface_name WHERE def_uid <> implementor_def_uid UNION ALL
+    SELECT DISTINCT def_uid, 'sub', implementor_def_uid FROM i JOIN defs ON name = interface_name WHERE def_uid <> implementor_def_uid""")
+def _(f):
+    """Of every definition; the facts' interfaces bear no definition's name, so each definition also implements the next if that is an interface."""
+    after = F.concat(F.lit("d"), (F.expr("substring(def_uid, 2)").cast("long") + 1).cast("string"))
+    named = f.defs.where("kind = 'interface'").select(F.col("def_uid").alias("_u"), F.col("name").alias("interface_name"))
+    more = f.defs.select(F.col("def_uid").alias("implementor_def_uid"), after.alias("_u")).join(named, "_u").select("implementor_def_uid", "interface_name")
+    return joins.hierarchy(f.impls.select("implementor_def_uid", "interface_name").unionByName(more), f.defs, f.defs)
 
 
 @query("o074_doc_xrefs", "SELECT id, source_def_uid, target_def_uid, confidence FROM xrefs WHERE source_def_uid = 'd5' OR target_def_uid = 'd5'")
 def _(f):
-    return f.xrefs.where("source_def_uid = 'd5' OR target_def_uid = 'd5'").select("id", "source_def_uid", "target_def_uid", "confidence")
+    return joins.cross_references_of(f.xrefs, ["d5"])
 
 
 @query("o075_first_endpoint", "SELECT handler_def_uid, http_method, url_pattern FROM (SELECT *, row_number() OVER (PARTITION BY handler_def_uid ORDER BY id) AS p FROM endpoints) WHERE p = 1")

@@ -84,3 +84,21 @@ def test_gate_of_converged_ranks(spark, duck):
     changed = {x for (x,) in duck.execute(oracle("SELECT path FROM files WHERE id < 200")).fetchall()}
     got = {r["node"] for r in catalogue.queries()["o213_centrality_gate"](spark, SF).collect()}
     assert got == {x for x in top if x in changed}
+
+
+def test_graph_analysis(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "b"), ("x", "y"), ("y", "x"), ("z", "z1")]
+    (r,) = graph.analyse(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert (r["nodes"], r["edges"], r["cycles"], r["in_cycles"], r["largest_cycle"], r["communities"]) == (8, 7, 2, 5, 3, 3)
+    ranks = power_iteration(edges)
+    assert r["central"] == min(ranks, key=lambda x: (-round(ranks[x], 12), x))
+    (none,) = graph.analyse(spark.createDataFrame([], "src string, dst string")).collect()
+    assert (none["nodes"], none["cycles"], none["communities"]) == (0, 0, 0)
+
+
+def test_labels_settle_on_a_long_path(spark):
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(14)]
+    found = graph.communities(spark.createDataFrame(edges, "src string, dst string"))
+    once = {r["node"]: r["community"] for r in found.collect()}
+    again = {r["node"]: r["community"] for r in graph.communities(spark.createDataFrame(edges, "src string, dst string"), 60).collect()}
+    assert once == again
