@@ -54,7 +54,8 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, compression:
     uri = scratch(spark, name) + "/table"
     if rows is not None:
         df = df.repartition(rows // ROWS_A_FILE + 1)
-    df.write.option("compression", compression).parquet(uri)
+    # zstd's first level is two or three times as fast as the default for a tenth more bytes
+    df.write.option("compression", compression).option("parquet.compression.codec.zstd.level", 1).parquet(uri)
     return spark.read.schema(df.schema).parquet(uri)
 
 

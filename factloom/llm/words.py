@@ -126,15 +126,12 @@ class Words:
         if len(self.memo) > MEMO:  # a segment that comes again is carried over from the last generation
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s)
-        new = [s for s in seen if s not in memo]
-        again = [s for s in new if s in older]
+        new = set().union(*split).difference(memo)
+        again = list(new.intersection(older))
         if again:
             memo.update(zip(again, map(older.__getitem__, again), strict=True))
-            new = [s for s in new if s not in older]
-        self.learn(new)
+            new = new.difference(older)
+        self.learn(list(new))
         return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
 
 
