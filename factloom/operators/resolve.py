@@ -15,6 +15,8 @@ from ..functions import paths
 from .graph import cut
 
 EXPORTED = ["class", "function"]
+#: Rows that every task may hold.
+FEW = 20_000
 
 
 def export_entries(defs: DataFrame, kinds: list[str] = EXPORTED) -> DataFrame:
@@ -33,6 +35,12 @@ def cascade(refs: DataFrame, passes: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def least(defs: DataFrame, *keys: str) -> DataFrame:
+    """keys, def_uid: the smallest definition of each, so that a join by them keeps its references' number; broadcast if few, which is counted."""
+    one = defs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.min("def_uid").alias("def_uid"))
+    return F.broadcast(one) if one.limit(FEW + 1).count() <= FEW else one
+
+
 def by_namespace(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """ref_id, def_uid for refs (ref_id, name, namespace): a definition of the name in the same namespace or a parent of it."""
     asked = refs.select("ref_id", "name", F.explode(paths.prefixes(F.col("namespace"))).alias("namespace"))

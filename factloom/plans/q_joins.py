@@ -151,7 +151,7 @@ NAMED = "SELECT r.ref_id, r.file_id, d.name, d2.namespace FROM refs r JOIN defs
 def named_refs(f):
     """The references with a name and a namespace, as NAMED."""
     d = f.defs.select(F.col("def_uid").alias("target_def_uid"), "name")
-    d2 = f.defs.select(F.col("def_uid").alias("_u"), "namespace")
+    d2 = F.broadcast(f.defs.where(F.col("def_uid").isin([f"d{i}" for i in range(-149, 150)])).select(F.col("def_uid").alias("_u"), "namespace"))  # 150 rows
     r = f.refs.join(d, "target_def_uid").withColumn("_u", F.concat(F.lit("d"), (F.col("ref_id") % 150).cast("string")))
     return r.join(d2, "_u").select("ref_id", "file_id", "name", "namespace")
 
@@ -162,7 +162,7 @@ def _(f):
 
 
 def namespace_using(f, named):
-    met = named.join(f.defs.select("name", "namespace", "def_uid"), ["name", "namespace"])
+    met = named.join(resolve.least(f.defs, "name", "namespace"), ["name", "namespace"])
     return met.groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 
