@@ -44,7 +44,7 @@ def least(defs: DataFrame, *keys: str) -> DataFrame:
 def by_namespace(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """ref_id, def_uid for refs (ref_id, name, namespace): a definition of the name in the same namespace or a parent of it."""
     asked = refs.select("ref_id", "name", F.explode(paths.prefixes(F.col("namespace"))).alias("namespace"))
-    return asked.join(defs.select("name", "namespace", "def_uid"), ["name", "namespace"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
+    return asked.join(least(defs, "name", "namespace"), ["name", "namespace"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 
 def by_star_import(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:

@@ -50,3 +50,15 @@ def test_same_namespace(spark, refs, defs):
     assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] and n <= N
 
 
+def test_parent_namespace(refs, defs):
+    rows, n = arose(resolve.by_namespace(refs, defs), "Join")
+    assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] and n <= N
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_many_keys_are_not_broadcast(refs, defs, few, monkeypatch):
+    monkeypatch.setattr(resolve, "FEW", few)
+    assert resolve.by_namespace(refs, defs).count() == N
+    assert ("broadcast" in resolve.least(defs, "name")._jdf.queryExecution().analyzed().toString().lower()) == (few > 0)
+
+
