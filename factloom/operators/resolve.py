@@ -257,11 +257,12 @@ def self_types(receivers: DataFrame, classes: DataFrame) -> DataFrame:
 
 def xref_targets(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """id, def_uid: the target by uid, else simple name, else last part of the qualified name; the smallest uid of the best way."""
-    by_uid = refs.join(defs.select(F.col("def_uid").alias("target"), "def_uid"), "target").select("id", F.lit(0).alias("_w"), "def_uid")
-    by_name = refs.join(defs.select(F.col("name").alias("target"), "def_uid"), "target").select("id", F.lit(1).alias("_w"), "def_uid")
     last = F.element_at(F.split("qualified_name", r"\."), -1)
-    by_end = refs.join(defs.select(last.alias("target"), "def_uid"), "target").select("id", F.lit(2).alias("_w"), "def_uid")
-    return by_uid.unionByName(by_name).unionByName(by_end).groupBy("id").agg(F.min(F.struct("_w", "def_uid")).alias("_b")).select("id", "_b.def_uid")
+    ways = F.array(*[F.struct(c.alias("target"), F.lit(w).alias("_w")) for w, c in enumerate((F.col("def_uid"), F.col("name"), last))])
+    named = defs.select("def_uid", F.explode(ways).alias("_x")).where("_x.target IS NOT NULL")
+    # one definition for each target: a name that very many bear meets its references once
+    best = named.groupBy("_x.target").agg(F.min(F.struct("_x._w", "def_uid")).alias("_b"))
+    return refs.join(best, "target").groupBy("id").agg(F.min("_b").alias("_b")).select("id", "_b.def_uid")
 
 
 def config_references(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -62,3 +62,9 @@ def test_many_keys_are_not_broadcast(refs, defs, few, monkeypatch):
     assert ("broadcast" in resolve.least(defs, "name")._jdf.queryExecution().analyzed().toString().lower()) == (few > 0)
 
 
+def test_xref_targets(spark, defs):
+    asked = spark.createDataFrame([(i, "x") for i in range(N)] + [(N, "d007"), (N + 1, "none"), (N + 1, None), (N, "x")], "id long, target string")
+    rows, n = arose(resolve.xref_targets(asked, defs), "Join")
+    assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] + [(N, "d007")] and n <= N + 2
+
+
