@@ -205,7 +205,7 @@ def _(f):
 
 
 def resolution_cascade(f, r):
-    same = r.join(f.defs.select("name", "namespace", "def_uid"), ["name", "namespace"]).select("ref_id", "def_uid")
+    same = r.join(resolve.least(f.defs, "name", "namespace"), ["name", "namespace"]).select("ref_id", "def_uid")
     out = resolve.cascade(r.withColumn("target_def_uid", F.lit(None).cast("string")), [("namespace", same), ("parent", resolve.by_namespace(r, f.defs))])
     return out.groupBy(F.coalesce("resolved_by", F.lit("none")).alias("resolved_by")).agg(F.count("*").alias("n"))
 

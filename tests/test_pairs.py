@@ -68,3 +68,9 @@ def test_xref_targets(spark, defs):
     assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] + [(N, "d007")] and n <= N + 2
 
 
+def test_cascade(spark, refs, defs):
+    named = refs.withColumn("namespace", F.when(F.col("ref_id") % 2 == 0, "p").otherwise("p.q"))
+    rows, n = arose(q_joins.resolution_cascade(type("Facts", (), {"defs": defs}), named), "Join")
+    assert sorted(map(tuple, rows)) == [("namespace", N // 2), ("parent", N // 2)] and n <= N
+
+
