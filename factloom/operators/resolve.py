@@ -175,8 +175,10 @@ def import_paths(imports: DataFrame, files: DataFrame) -> DataFrame:
 def by_package(refs: DataFrame, packages: DataFrame, defs: DataFrame, exported: Column | None = None) -> DataFrame:
     """ref_id, def_uid for refs (ref_id, file_id, name): a definition in a file that the reference's file imports whole (file_id, source_file_id)."""
     offered = defs.where(exported) if exported is not None else defs
-    offered = offered.select(F.col("file_id").alias("source_file_id"), "name", "def_uid")
-    met = refs.select("ref_id", "file_id", "name").join(packages.distinct(), "file_id").join(offered, ["source_file_id", "name"])
+    packages = packages.distinct()
+    offered = offered.withColumnRenamed("file_id", "source_file_id").join(packages.select("source_file_id").distinct(), "source_file_id", "left_semi")
+    offered = least(offered, "source_file_id", "name")
+    met = refs.select("ref_id", "file_id", "name").join(packages, "file_id").join(offered, ["source_file_id", "name"])
     return met.groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 
@@ -211,7 +213,7 @@ def by_rust_glob(refs: DataFrame, imports: DataFrame, defs: DataFrame, files: Da
 def by_java_star(refs: DataFrame, imports: DataFrame, defs: DataFrame, kinds: list[str]) -> DataFrame:
     """Java's star imports: a type of the name in the imported namespace."""
     stars = imports.where("import_kind = 'java_import' AND imported_name = '*'").select("file_id", F.col("source_literal").alias("namespace")).distinct()
-    types = defs.where(F.col("kind").isin(kinds)).select("namespace", "name", "def_uid")
+    types = least(defs.where(F.col("kind").isin(kinds)), "namespace", "name")
     return refs.select("ref_id", "file_id", "name").join(stars, "file_id").join(types, ["namespace", "name"]).groupBy("ref_id").agg(F.min("def_uid").alias("def_uid"))
 
 

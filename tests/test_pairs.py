@@ -68,6 +68,16 @@ def test_xref_targets(spark, defs):
     assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] + [(N, "d007")] and n <= N + 2
 
 
+def test_whole_packages(spark, refs, defs):
+    stars = spark.createDataFrame([(i, "p", "*", "java_import") for i in range(N)], "file_id long, source_literal string, imported_name string, import_kind string")
+    rows, n = arose(resolve.by_java_star(refs, stars, defs, ["class"]), "Join")
+    assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] and n <= N
+    one = defs.withColumn("file_id", F.lit(5).cast("long"))
+    packages = spark.createDataFrame([(i, 5) for i in range(N)], "file_id long, source_file_id long")
+    rows, n = arose(resolve.by_package(refs, packages, one), "Join")
+    assert sorted(map(tuple, rows)) == [(i, "d000") for i in range(N)] and n <= N
+
+
 def test_cascade(spark, refs, defs):
     named = refs.withColumn("namespace", F.when(F.col("ref_id") % 2 == 0, "p").otherwise("p.q"))
     rows, n = arose(q_joins.resolution_cascade(type("Facts", (), {"defs": defs}), named), "Join")
