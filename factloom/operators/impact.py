@@ -119,18 +119,24 @@ EDGES = ["callee", "caller", "sibling", "implementor", "doc_xref"]
 def graph_harvest(seeds: DataFrame, defs: DataFrame, refs: DataFrame, impls: DataFrame, xrefs: DataFrame) -> DataFrame:
     """def_uid, edge, seed_rank: definitions one step from a seed (def_uid, seed_rank), by the best ranked seed and first kind of edge.
 
-    All seeds are expanded at once: one join for each kind of edge.
+    All seeds are expanded at once: one join for each kind of edge. Every task gets the seeds, on the caller's word that they are few.
     """
     from .joins import enclosing_refs
 
-    s = seeds.select(F.col("def_uid").alias("seed"), "seed_rank")
-    calls = enclosing_refs(refs, defs)
-    at = defs.select(F.col("def_uid").alias("seed"), "file_id")
-    shared = impls.select(F.col("implementor_def_uid").alias("seed"), "interface_name").join(impls, "interface_name").select("seed", F.col("implementor_def_uid").alias("def_uid"))
+    s = F.broadcast(seeds.select(F.col("def_uid").alias("seed"), "seed_rank"))
+
+    def of_seeds(df: DataFrame, column: str) -> DataFrame:
+        return df.join(s.withColumnRenamed("seed", column), column, "left_semi")
+
+    # an edge of any kind begins at a seed, so the seeds go first: neither all calls nor all pairs of an interface's implementors arise
+    called = enclosing_refs(refs, F.broadcast(of_seeds(defs, "def_uid")))
+    calling = enclosing_refs(of_seeds(refs, "target_def_uid"), defs)
+    at = F.broadcast(of_seeds(defs.select(F.col("def_uid").alias("seed"), "file_id"), "seed"))
+    mine = of_seeds(impls.select(F.col("implementor_def_uid").alias("seed"), "interface_name"), "seed").distinct()
     kinds = [
-        calls.select(F.col("src").alias("seed"), F.col("dst").alias("def_uid")), calls.select(F.col("dst").alias("seed"), F.col("src").alias("def_uid")),
-        at.join(s, "seed", "left_semi").join(defs.select("file_id", "def_uid"), "file_id").select("seed", "def_uid"),
-        shared, xrefs.select(F.col("source_def_uid").alias("seed"), F.col("target_def_uid").alias("def_uid")),
+        called.select(F.col("src").alias("seed"), F.col("dst").alias("def_uid")), calling.select(F.col("dst").alias("seed"), F.col("src").alias("def_uid")),
+        at.join(defs.select("file_id", "def_uid"), "file_id").select("seed", "def_uid"),
+        mine.join(impls, "interface_name").select("seed", F.col("implementor_def_uid").alias("def_uid")), xrefs.select(F.col("source_def_uid").alias("seed"), F.col("target_def_uid").alias("def_uid")),
     ]
     found = None
     for i, k in enumerate(kinds):

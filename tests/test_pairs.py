@@ -84,3 +84,15 @@ def test_cascade(spark, refs, defs):
     assert sorted(map(tuple, rows)) == [("namespace", N // 2), ("parent", N // 2)] and n <= N
 
 
+def test_harvest_begins_at_seeds(spark, defs):
+    spans = defs.withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(9))
+    refs = spark.createDataFrame([(i, 5, f"d{(i + 1) % N:03}") for i in range(N)], "file_id long, start_line long, target_def_uid string")
+    impls = spark.createDataFrame([(f"d{i:03}", "x") for i in range(N)], "implementor_def_uid string, interface_name string")
+    xrefs = spark.createDataFrame([("d003", "d009")], "source_def_uid string, target_def_uid string")
+    seeds = spark.createDataFrame([("d003", 0), ("d007", 1)], "def_uid string, seed_rank int")
+    rows, n = arose(impact.graph_harvest(seeds, spans, refs, impls, xrefs), "Join")
+    assert len(rows) == N and n <= 2 * N + 4
+    got = {r["def_uid"]: (r["edge"], r["seed_rank"]) for r in rows}
+    assert got["d004"] == ("callee", 0) and got["d002"] == ("caller", 0) and got["d006"] == ("implementor", 0) and got["d003"] == ("implementor", 1)
+
+
