@@ -26,11 +26,11 @@ def dot_products(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFram
     return met.groupBy(a_key, b_key).agg(F.round(F.sum(F.col("_a") * F.col("_b")), 6).alias("score"))
 
 
-def pair_products(a: DataFrame, b: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """a, b, score of the stated pairs (a, b) of rows of two tables (key, term, weight) that share a term."""
-    left = a.select(F.col(key).alias("a"), "term", F.col("weight").alias("_a")).join(pairs, "a")
+def pair_products(a: DataFrame, b: DataFrame, pairs: DataFrame, key: str, digits: int = 6) -> DataFrame:
+    """a, b, score of the stated pairs (a, b), each once, of rows of two tables (key, term, weight) that share a term; rounded once."""
+    left = a.select(F.col(key).alias("a"), "term", F.col("weight").alias("_a")).join(pairs.select("a", "b").distinct(), "a")
     met = left.join(b.select(F.col(key).alias("b"), "term", F.col("weight").alias("_b")), ["b", "term"])
-    return met.groupBy("a", "b").agg(F.round(F.sum(F.col("_a") * F.col("_b")), 6).alias("score"))
+    return met.groupBy("a", "b").agg(F.round(F.sum(F.col("_a") * F.col("_b")), digits).alias("score"))
 
 
 def retrieve(queries: DataFrame, vectors: DataFrame, query: str, key: str, floor: float, most: int) -> DataFrame:

@@ -139,7 +139,7 @@ def _(f):
 def _(f):
     """Of each document's vector with the next one's."""
     v = sparse.tf_idf(f.documents, "doc_id")
-    return sparse.pair_products(v, v, f.documents.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")), "doc_id").withColumn("score", F.round("score", 1))
+    return sparse.pair_products(v, v, f.documents.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")), "doc_id", 1)
 
 
 @query("o224_centroid", f"""

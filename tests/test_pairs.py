@@ -96,3 +96,9 @@ def test_harvest_begins_at_seeds(spark, defs):
     assert got["d004"] == ("callee", 0) and got["d002"] == ("caller", 0) and got["d006"] == ("implementor", 0) and got["d003"] == ("implementor", 1)
 
 
+def test_pair_products_round_once(spark):
+    v = spark.createDataFrame([(1, "t", 1.0), (2, "t", 0.0499999996)], "doc_id long, term string, weight double")
+    pairs = spark.createDataFrame([(1, 2), (1, 2)], "a long, b long")
+    assert [tuple(r) for r in sparse.pair_products(v, v, pairs, "doc_id", 1).collect()] == [(1, 2, 0.0)]
+
+
