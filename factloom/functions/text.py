@@ -204,6 +204,10 @@ def _reference(i: Column, level: Column):
     return lambda t: F.struct((i + 1).cast("int").alias("line"), t.alias("target"), level.alias("confidence"))
 
 
+def _with_new(targets: Column, i: Column, level: Column):
+    return lambda found: F.concat(found, F.transform(F.array_except(targets, F.transform(found, lambda x: x["target"])), _reference(i, level)))
+
+
 def cross_references(text: Column) -> Column:
     """array of structs (line, target, confidence): each target of a line once, with its best confidence."""
     none = F.array().cast("array<struct<line:int,target:string,confidence:string>>")
@@ -214,10 +218,9 @@ def cross_references(text: Column) -> Column:
             targets = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda t: F.trim(t)), lambda t: F.length(t) >= 2))
             if confidence == "low":
                 targets = F.when(F.trim(line).rlike("^(def|class|import|from) |^$"), F.array().cast("array<string>")).otherwise(targets)
-            known = F.transform(found, lambda x: x["target"])
             level = F.lit(confidence)  # bound below by its value: a lambda's further parameters would be taken for its own
-            new = F.transform(F.array_except(targets, known), _reference(i, level))
-            found = F.concat(found, new)
+            # what was found so far is named by an array of one: written out twice, each pattern would double the work of those before
+            found = F.transform(F.array(found), _with_new(targets, i, level))[0]
         return found
 
     return F.flatten(F.transform(F.split(text, "\n"), of_line))

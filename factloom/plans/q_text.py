@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import chunks
+from .facts import spread
 from .registry import query
 
 LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), e AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM l)"
@@ -186,7 +187,7 @@ def _(f):
         F.lit("Uses :func:`"), F.col("name"), F.lit("` here\nSee also `Brand"), k, F.lit("`\nas in [T"), k, F.lit(".run](x)\n  Returns: Result or"), qualified,
         F.lit("\nthen a.b.c of MyType\nclass NoType of plain Words"),
     )
-    return f.defs.select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
+    return spread(f.defs).select("def_uid", F.explode(text.cross_references(doc)).alias("x")).select("def_uid", F.col("x.line").alias("line"), "x.target", "x.confidence")
 
 
 @query("o202_endpoints", """

@@ -84,6 +84,11 @@ def test_cascade(spark, refs, defs):
     assert sorted(map(tuple, rows)) == [("namespace", N // 2), ("parent", N // 2)] and n <= N
 
 
+def test_cross_reference_patterns_stand_once(spark):
+    plan = spark.range(1).select(text.cross_references(F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all") <= len(text.CROSS_REFERENCES)
+
+
 def test_harvest_begins_at_seeds(spark, defs):
     spans = defs.withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(9))
     refs = spark.createDataFrame([(i, 5, f"d{(i + 1) % N:03}") for i in range(N)], "file_id long, start_line long, target_def_uid string")
