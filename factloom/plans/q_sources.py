@@ -24,7 +24,7 @@ def by_file(f, line, head, tail, joiner="\n"):
 
 
 def whole(files, before="", after="", joiner="\n"):
-    g = files.groupBy("report").agg(F.array_join(F.array_sort(F.collect_list("_f")), joiner).alias("_c"))
+    g = files.groupBy("report").agg(F.array_join(F.sort_array(F.collect_list("_f")), joiner).alias("_c"))  # array_sort compares by an interpreted lambda
     return g.select("report", F.concat(F.lit(before), "_c", F.lit(after)).alias("content"))
 
 

@@ -6,8 +6,12 @@ col, severity, code, message); results are (report, name, status, seconds).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,13 +134,69 @@ TOOLS: dict[str, Callable[[DataFrame], DataFrame]] = {
 RESULT = ["report", "name", "status", "seconds"]
 
 
+def _seconds(text: str | None) -> float:
+    try:
+        return float((text or "0").strip().replace(",", "") or 0)
+    except ValueError:
+        return 0.0
+
+
+def _junit_cases(text: str) -> Iterator[list[tuple]]:
+    """(name, status, seconds) of a report's test cases, some at a time; none of a report that isn't well-formed."""
+    body = re.sub(r"(?s)<\?xml.*?\?>", "", text)
+    del text
+    whole = body.lstrip().startswith("<testsuites")
+    step = 1 << 20
+    pieces = lambda: chain(["" if whole else "<testsuites>"], (body[i : i + step] for i in range(0, len(body), step)), ["" if whole else "</testsuites>"])
+    try:
+        check = expat.ParserCreate()
+        for p in pieces():
+            check.Parse(p)
+        check.Parse("", True)
+    except expat.ExpatError:
+        return
+    path, case, rows = [], {}, []
+
+    def begin(tag: str, attributes: dict) -> None:
+        path.append(tag)
+        if len(path) == 3 and path[1:] == ["testsuite", "testcase"]:
+            case.clear()
+            case.update(attributes)
+        elif len(path) == 4 and path[1:3] == ["testsuite", "testcase"] and tag in PROBLEMS:
+            case["", tag] = True
+
+    def end(tag: str) -> None:
+        if len(path) == 3 and path[1:] == ["testsuite", "testcase"]:
+            name = "::".join(case[k] for k in ("classname", "name") if k in case)
+            rows.append((name, next((s for t, s in PROBLEMS.items() if ("", t) in case), "passed"), _seconds(case.get("time"))))
+        path.pop()
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = begin, end
+    for p in pieces():
+        parser.Parse(p)
+        if rows:
+            yield rows
+            rows.clear()
+
+
+#: What a test case holds and its status, the first that is there.
+PROBLEMS = {"failure": "failed", "error": "error", "skipped": "skipped"}
+
+
 def junit_results(reports: DataFrame) -> DataFrame:
-    case = "ARRAY<STRUCT<_classname: STRING, _name: STRING, _time: DOUBLE, failure: ARRAY<STRING>, error: ARRAY<STRING>, skipped: ARRAY<STRING>>>"
-    body = F.regexp_replace("content", r"(?s)<\?xml.*?\?>", "")
-    wrapped = F.when(F.trim(body).startswith("<testsuites"), body).otherwise(F.concat(F.lit("<testsuites>"), body, F.lit("</testsuites>")))
-    suites = reports.select("report", F.explode(F.from_xml(wrapped, f"testsuite ARRAY<STRUCT<testcase: {case}>>")["testsuite"]).alias("s")).select("report", F.explode("s.testcase").alias("c"))
-    status = F.when(F.col("c.failure").isNotNull(), "failed").when(F.col("c.error").isNotNull(), "error").when(F.col("c.skipped").isNotNull(), "skipped").otherwise("passed")
-    return suites.select("report", F.concat_ws("::", "c._classname", "c._name").alias("name"), status.alias("status"), F.coalesce("c._time", F.lit(0.0)).alias("seconds"))
+    """Each report is read in one pass in pieces: an array of its cases, as from_xml makes it, is copied for each case."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for report, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for rows in _junit_cases(content.as_py() or ""):
+                    name, status, seconds = zip(*rows, strict=True)
+                    columns = [pa.array([report] * len(rows), pa.string()), pa.array(name, pa.string()), pa.array(status, pa.string()), pa.array(seconds, pa.float64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=RESULT)
+
+    known = reports.where("content IS NOT NULL").select(F.col("report").cast("string"), F.col("content").cast("string"))
+    return known.mapInArrow(run, "report string, name string, status string, seconds double")
 
 
 def pytest_results(reports: DataFrame) -> DataFrame:

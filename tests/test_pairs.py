@@ -107,3 +107,11 @@ def test_pair_products_round_once(spark):
     assert [tuple(r) for r in sparse.pair_products(v, v, pairs, "doc_id", 1).collect()] == [(1, 2, 0.0)]
 
 
+def test_junit_in_one_pass(spark):
+    case = '<testcase classname="s" name="t%d" time="1,000.5">%s</testcase>'
+    odd = '<testcase name="a"><failure/><skipped/></testcase><testcase time="x"><properties/></testcase><testcase classname="&lt;testcase&gt;"><error><![CDATA[<testcase name="no"/>]]></error></testcase>'
+    many = "".join(case % (i, "<skipped/>" if i % 2 else "") for i in range(50_000))
+    rows = [("m", f"<?xml version='1.0'?><testsuite>{many}</testsuite>"), ("o", f"\n<testsuites><testsuite>{odd}<testsuite>{odd}</testsuite></testsuite></testsuites>"), ("bad", f"<testsuite>{odd}"), ("none", None), ("", "")]
+    got = [tuple(r) for r in reports.junit_results(spark.createDataFrame(rows, "report string, content string")).collect()]
+    assert sorted(r for r in got if r[0] != "m") == [("o", "", "passed", 0.0), ("o", "<testcase>", "error", 0.0), ("o", "a", "failed", 0.0)]
+    assert sorted(r for r in got if r[0] == "m") == sorted(("m", f"s::t{i}", "skipped" if i % 2 else "passed", 1000.5) for i in range(50_000))
