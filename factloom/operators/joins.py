@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,13 +95,18 @@ def hierarchy(impls: DataFrame, defs: DataFrame, of: DataFrame) -> DataFrame:
     """
     pairs = impls.select("implementor_def_uid", "interface_name").distinct()
     mine = of.select("def_uid").distinct()
-    named = defs.select(F.col("def_uid").alias("other"), F.col("name").alias("interface_name"))
+    named = defs.select(F.col("def_uid").alias("other"), F.col("name").alias("interface_name")).distinct()
     up = pairs.join(mine.select(F.col("def_uid").alias("implementor_def_uid")), "implementor_def_uid", "left_semi").withColumnRenamed("implementor_def_uid", "def_uid")
-    own = defs.join(mine, "def_uid", "left_semi").select("def_uid", F.col("name").alias("interface_name"))
-    down = own.join(pairs.withColumnRenamed("implementor_def_uid", "other"), "interface_name")
+    own = defs.join(mine, "def_uid", "left_semi").select("def_uid", F.col("name").alias("interface_name")).distinct()
+    implementing = pairs.withColumnRenamed("implementor_def_uid", "other")
     rows = [up.select("def_uid", F.lit("interface").alias("relation"), F.col("interface_name").alias("other"))]
-    rows += [x.where("def_uid <> other").select("def_uid", F.lit(r).alias("relation"), "other").distinct() for r, x in (("super", up.join(named, "interface_name")), ("sub", down))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    # definitions of one name meet an implementor once: only those of several names may meet it again, and only their pairs are made distinct
+    several = defs.groupBy("def_uid").agg(F.min("name").alias("_a"), F.max("name").alias("_z")).where("_a <> _z").select("def_uid")
+    again = several.withColumnRenamed("def_uid", "other")
+    for how, of in (("left_anti", lambda x: x), ("left_semi", DataFrame.distinct)):
+        found = ("super", up.join(named.join(again, "other", how), "interface_name")), ("sub", own.join(several, "def_uid", how).join(implementing, "interface_name"))
+        rows += [of(x.where("def_uid <> other").select("def_uid", F.lit(r).alias("relation"), "other")) for r, x in found]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def implementors(impls: DataFrame, interfaces: list[str]) -> DataFrame:

@@ -84,6 +84,20 @@ def test_cascade(spark, refs, defs):
     assert sorted(map(tuple, rows)) == [("namespace", N // 2), ("parent", N // 2)] and n <= N
 
 
+def test_hierarchy_shuffles_no_pairs(spark, defs):
+    impls = spark.createDataFrame([(f"d{i:03}", "x") for i in range(N)] * 2, "implementor_def_uid string, interface_name string")
+    rows, n = arose(joins.hierarchy(impls, defs, defs), "ShuffleExchange", "shuffleRecordsWritten")
+    assert len(rows) == len(set(rows)) == N + 2 * N * (N - 1) and n <= 2 * N
+
+
+def test_hierarchy_of_several_names(spark):
+    impls = spark.createDataFrame([("a", "x"), ("a", "y")], "implementor_def_uid string, interface_name string")
+    of = spark.createDataFrame([("b", "x"), ("b", "y"), ("c", "x"), ("c", "x")], "def_uid string, name string")
+    own = of.union(spark.createDataFrame([("a", "z")], "def_uid string, name string"))
+    got = sorted(map(tuple, joins.hierarchy(impls, own, own).collect()))
+    assert got == [("a", "interface", "x"), ("a", "interface", "y"), ("a", "super", "b"), ("a", "super", "c"), ("b", "sub", "a"), ("c", "sub", "a")]
+
+
 def test_cross_reference_patterns_stand_once(spark):
     plan = spark.range(1).select(text.cross_references(F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= len(text.CROSS_REFERENCES)
