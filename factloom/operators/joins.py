@@ -23,6 +23,22 @@ def contained(points: DataFrame, point: str, intervals: DataFrame, keys: list[st
     return at.join(cut, [*keys, "_bucket"]).where(hit).drop("_bucket")
 
 
+def covering(points: DataFrame, point: str, intervals: DataFrame, keys: list[str], start: str = "start_line", end: str = "end_line") -> DataFrame:
+    """As contained, where some intervals may be very long: each is listed under nine buckets at most, of a width that suits its length.
+
+    Points are listed under every width that occurs, of fifteen.
+    """
+    length = F.col(end).cast("double") - F.col(start).cast("double")
+    shift = reduce(lambda c, k: c.when(length <= 8 * 2.0**k, k), range(10, 60, 4), F.when(length <= 8 * 2.0**6, 6)).otherwise(62)
+    sized = intervals.where(F.col(start) <= F.col(end)).withColumn("_shift", shift)
+    used = sorted(r["_shift"] for r in sized.select("_shift").distinct().collect())
+    bucket = lambda c: F.expr(f"shiftright(CAST(`{c}` AS BIGINT), _shift)")
+    cut = sized.withColumn("_bucket", F.explode(F.sequence(bucket(start), bucket(end))))
+    at = points.withColumn("_shift", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>"))).withColumn("_bucket", bucket(point))
+    hit = (F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end))
+    return at.join(cut, [*keys, "_shift", "_bucket"]).where(hit).drop("_shift", "_bucket")
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of intervals (start, end) and (other_start, other_end) that share a line, each once: in the bucket of the later start."""
     left = a.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
@@ -48,10 +64,17 @@ def callees(defs: DataFrame, refs: DataFrame, of: DataFrame) -> DataFrame:
 
 def innermost(points: DataFrame, point: str, scopes: DataFrame, key: str, preferred: str | None = None) -> DataFrame:
     """Each point (key) with its smallest enclosing scope: of the preferred kind if there is one, of the whole file only as a last resort."""
-    found = contained(points, point, scopes, ["file_id"])
     rank = F.when(F.col("kind") == preferred, 0).when(F.col("kind") != "file", 1).otherwise(2) if preferred else F.when(F.col("kind") != "file", 1).otherwise(2)
-    best = F.min_by(F.struct("scope_id", "kind"), F.struct(rank, F.col("end_line") - F.col("start_line"), F.col("scope_id")))
-    return found.groupBy(key).agg(best.alias("_s")).select(key, "_s.scope_id", "_s.kind")
+    # what is innermost changes only where a scope begins or has ended: it is found there, and each point takes the last before it
+    last = (1 << 63) - 1
+    after = F.col("end_line").cast("long")
+    edges = F.array(F.col("start_line").cast("long"), F.when(after < last, after + 1))
+    at = scopes.where("file_id IS NOT NULL AND start_line <= end_line").select("file_id", F.explode(edges).alias("_at")).where("_at IS NOT NULL").distinct()
+    best = F.min(F.struct(rank.alias("_rank"), (F.col("end_line") - F.col("start_line")).alias("_length"), "scope_id", "kind"))
+    there = covering(at, "_at", scopes, ["file_id"]).groupBy("file_id", "_at").agg(best.alias("best"))
+    steps = at.join(there, ["file_id", "_at"], "left").withColumnRenamed("_at", point)
+    found = as_of_join(points.where(F.col("file_id").isNotNull() & F.col(point).isNotNull()).select(key, "file_id", point), steps, ["file_id"], point, ["best"])
+    return found.where("best IS NOT NULL").groupBy(key).agg(F.min("best").alias("_s")).select(key, "_s.scope_id", "_s.kind")
 
 
 def as_of(snapshots: DataFrame, keys: list[str], version: str, at: int, tie: str) -> DataFrame:

@@ -98,6 +98,27 @@ def test_hierarchy_of_several_names(spark):
     assert got == [("a", "interface", "x"), ("a", "interface", "y"), ("a", "super", "b"), ("a", "super", "c"), ("b", "sub", "a"), ("c", "sub", "a")]
 
 
+SCOPES = "scope_id long, file_id long, kind string, start_line long, end_line long"
+
+
+@pytest.mark.parametrize("preferred", ["class", None])
+def test_innermost_of_long_scopes(spark, preferred):
+    longest = (1 << 63) - 1
+    given = [(1, 1, "file", 1, 10_000_000), (2, 1, "class", 5, 900), (3, 1, "function", 10, 20), (4, 1, "function", 10, 20), (5, 1, "block", 901, 5_000_000), (6, 2, "file", -70, longest - 100), (9, 4, "file", 1, longest), (7, 2, None, 9, 3), (8, None, "file", 1, 9)]
+    asked = [(i, f, line) for i, (f, line) in enumerate([(1, 1), (1, 5), (1, 15), (1, 20), (1, 21), (1, 900), (1, 901), (1, 5_000_001), (1, 10_000_001), (1, 0), (2, -64), (2, longest - 100), (4, longest), (2, 5), (3, 1), (None, 2), (1, None)])]
+
+    def rank(kind):
+        return 0 if preferred and kind == preferred else 1 if kind not in ("file", None) else 2
+
+    want = []
+    for i, f, line in asked:
+        around = [(rank(k), e - s, u, k) for u, file, k, s, e in given if file is not None and file == f and line is not None and s <= line <= e]
+        want += [(i, *min(around)[2:])] if around else []
+    points = spark.createDataFrame(asked, "ref_id long, file_id long, _line long")
+    rows, n = arose(joins.innermost(points, "_line", spark.createDataFrame(given, SCOPES), "ref_id", preferred), "Generate")
+    assert sorted(map(tuple, rows)) == want and n < 100
+
+
 def test_cross_reference_patterns_stand_once(spark):
     plan = spark.range(1).select(text.cross_references(F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= len(text.CROSS_REFERENCES)
