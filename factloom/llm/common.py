@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,6 +61,24 @@ def materialise(df: DataFrame, name: str, rows: int | None = None, compression:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+#: What this Python worker has learnt and another operator doesn't need: cleared where one begins.
+LEARNT: list[dict] = []
+
+
+def released(run: Callable, keep: bool = False) -> Callable:
+    """run, a function for mapInArrow, that begins without what other operators have learnt (or keeps it) and gives free memory back at its end."""
+
+    def held(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in () if keep else LEARNT:
+            x.clear()
+        yield from run(source)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # the allocator of glibc alone can be asked
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return held
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI of the shared folder, on the driver or an executor."""
     from pyarrow import fs

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import batches, texts
 
 SPACE = "▁"
@@ -284,6 +285,7 @@ class Vocabulary:
 
 
 VOCABULARIES: dict[str, Vocabulary] = {}
+common.LEARNT.append(VOCABULARIES)
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -360,4 +362,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     rows.append((i, len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
                 yield batches(schema, rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(common.released(run, keep=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

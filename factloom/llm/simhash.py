@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, texts
+from .common import released, materialise, partitions, texts
 
 SEED = 42
 SMALL, LARGE = 64, 4096
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, tables: int = 1) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), prints], names=["doc_id", "text_hash", "prints"])
 
     known = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    made = known.mapInArrow(run, "doc_id long, text_hash long, prints array<long>")
+    made = known.mapInArrow(released(run), "doc_id long, text_hash long, prints array<long>")
     return made.withColumn("node", F.get("prints", F.lit(0)) if tables == 1 else F.xxhash64("prints"))
 
 
@@ -113,7 +113,7 @@ def postings(nodes: DataFrame, tables: int) -> DataFrame:
                     key = (t * len(TRIPLES) + j << 24) + (byte[:, a] << 16 | byte[:, b] << 8 | byte[:, c])
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(x)], names=["key", "node", "print"])
 
-    return nodes.select("node", "prints").mapInArrow(run, "key long, node long, print long")
+    return nodes.select("node", "prints").mapInArrow(released(run), "key long, node long, print long")
 
 
 def equal_bytes(x: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def links(nodes: DataFrame, tables: int = 1, bits: int = 4, small: int = SMALL,
 
     dealt = postings(nodes, tables).repartition(partitions(nodes), "key").sortWithinPartitions("key")
     # links are far fewer than postings: a few files for all the tasks, not one each
-    found = materialise(dealt.mapInArrow(run, "a long, b long, far int"), "simhash-links", rows=nodes.count())
+    found = materialise(dealt.mapInArrow(released(run), "a long, b long, far int"), "simhash-links", rows=nodes.count())
     near = found.where("far = 0").select("a", "b")
     far = found.where("far > 0").select(F.col("far").alias("t"), F.col("a").alias("node"), F.col("b").alias("print")).distinct()
     return near.unionByName(meeting(far, bits)) if found.where("far > 0").take(1) else near
@@ -230,7 +230,7 @@ def meeting(far: DataFrame, bits: int) -> DataFrame:
                 r = len(flips)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t[i : i + 256], r)), pa.array(p), pa.array(np.repeat(node[i : i + 256], r))], names=["t", "point", "node"])
 
-    points = far.mapInArrow(run, "t int, point long, node long")
+    points = far.mapInArrow(released(run), "t int, point long, node long")
     lowest = points.groupBy("t", "point").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     return points.join(lowest, ["t", "point"]).where("node <> a").select("a", F.col("node").alias("b")).distinct()
 

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import released, texts
 
 HELD_OUT, MODULUS = 0, 5
 #: Labelled texts used; features of the classifier; voters; least texts of label 1 with a feature, and its least log-likelihood ratio.
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n1, n0 = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
     if not n1 or not n0:
         return Model([], np.zeros(0), 0.0, 0.0, -30.0).prepared()
-    counts = rows.mapInArrow(counted, "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(released(counted), "name string, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # log-likelihood ratio of the texts with it against the sample's share of label 1
     share, both = n1 / (n1 + n0), F.col("pos") + F.col("neg")
     worth = F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0.0)
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["y", "bits"])
 
     # bounded: SAMPLE rows of FEATURES bits; equal rows in one
-    table = rows.mapInArrow(marked, "y int, bits binary").groupBy("y", "bits").count().orderBy("y", "bits").toPandas()
+    table = rows.mapInArrow(released(marked), "y int, bits binary").groupBy("y", "bits").count().orderBy("y", "bits").toPandas()
     times = table["count"].to_numpy(int)
     if names:
         packed = np.frombuffer(b"".join(map(bytes, table["bits"])), np.uint8).reshape(len(table), width)
@@ -367,4 +367,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for batch in source:
             yield batch.filter(pa.array([own.score(t) < 0.5 for t in texts(batch, place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
