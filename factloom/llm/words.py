@@ -127,10 +127,10 @@ class Words:
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
         new = set().union(*split).difference(memo)
-        again = list(new.intersection(older))
+        again = [s for s in new if s in older]  # set.intersection would go through all of older
         if again:
             memo.update(zip(again, map(older.__getitem__, again), strict=True))
-            new = new.difference(older)
+            new.difference_update(again)
         self.learn(list(new))
         return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
 

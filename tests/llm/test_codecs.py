@@ -291,3 +291,16 @@ def test_stored_media_by_another_decoder(data):
             at += 1 + m[at]
         at += 1
     assert len(palette) >= 3 and out[: len(payload)] == payload
+
+
+def test_new_segments_are_looked_up_in_the_older_memo_without_a_pass_over_it():
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("a pass over the whole generation for each call")
+
+    w = words.Words(WORDS, special=False)
+    first = w.ids(["alpha beta"])[0].tolist()
+    w.older, w.memo = Older(w.memo), {}
+    got = [x.tolist() for x in w.ids(["alpha gamma", "alpha beta"])]
+    assert got == [w.library.encode("alpha gamma", add_special_tokens=False).ids, first]
+    assert set(w.memo) == {"alpha", "beta", "gamma"}
