@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Lines to a bucket: intervals are cut into buckets, so that a join on file and bucket stays linear in one large file.
 BUCKET = 64
 
+#: Of products(): values to a list, most copies of a list, by which the pairs of one key are dealt out to tasks, and least number of tasks.
+RUN, COPIES, PIECES = 256, 16, 128
+
 
 def contained(points: DataFrame, point: str, intervals: DataFrame, keys: list[str], start: str = "start_line", end: str = "end_line") -> DataFrame:
     """Every pair of a point and an interval of the same keys that holds it.
@@ -110,6 +113,27 @@ def co_implementors(impls: DataFrame, of: DataFrame) -> DataFrame:
     return mine.join(impls.withColumnRenamed("implementor_def_uid", "other"), "interface_name").where("def_uid <> other").select("def_uid", "other").distinct()
 
 
+def products(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """a, b: every pair of an a of left (key, a) and a b of right (key, b) that have one key.
+
+    Lists of values are shuffled and met, and pairs arise only at the end. There each
+    b stands beside a short list of a, so that columnar files hold its runs in a
+    fraction of a byte for each pair; one long list would fill their pages anew for each b.
+    """
+
+    def lists(x: DataFrame, c: str) -> DataFrame:
+        at = F.row_number().over(Window.partitionBy(key).orderBy(c))
+        return x.select(key, c, F.floor((at - 1) / RUN).alias("_list")).groupBy(key, "_list").agg(F.collect_list(c).alias(f"_{c}"))
+
+    # a stated number of partitions, as adaptive execution joins them by the size of the lists and not by that of the pairs
+    n = max(PIECES, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    copies = right.groupBy(key).agg(F.least(F.lit(COPIES), F.ceil(F.count("*") / RUN)).cast("int").alias("_copies"))
+    copied = lists(left, "a").join(copies, key).select(key, "_a", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy")).repartition(n, key, "_copy")
+    dealt = lists(right, "b").withColumn("_copy", (F.col("_list") % COPIES).cast("int")).repartition(n, key, "_copy")
+    met = copied.join(dealt.drop("_list"), [key, "_copy"])
+    return met.select("_a", F.explode("_b").alias("b")).select(F.explode("_a").alias("a"), "b")
+
+
 def hierarchy(impls: DataFrame, defs: DataFrame, of: DataFrame) -> DataFrame:
     """def_uid, relation, other of each definition in of, one step away.
 
@@ -126,9 +150,11 @@ def hierarchy(impls: DataFrame, defs: DataFrame, of: DataFrame) -> DataFrame:
     # definitions of one name meet an implementor once: only those of several names may meet it again, and only their pairs are made distinct
     several = defs.groupBy("def_uid").agg(F.min("name").alias("_a"), F.max("name").alias("_z")).where("_a <> _z").select("def_uid")
     again = several.withColumnRenamed("def_uid", "other")
-    for how, of in (("left_anti", lambda x: x), ("left_semi", DataFrame.distinct)):
-        found = ("super", up.join(named.join(again, "other", how), "interface_name")), ("sub", own.join(several, "def_uid", how).join(implementing, "interface_name"))
-        rows += [of(x.where("def_uid <> other").select("def_uid", F.lit(r).alias("relation"), "other")) for r, x in found]
+    for how, met in (("left_anti", products), ("left_semi", lambda a, b, key: a.join(b, key).select("a", "b").distinct())):
+        found = ("super", "a", "b", up, named.join(again, "other", how)), ("sub", "b", "a", implementing, own.join(several, "def_uid", how))
+        for relation, this, other, a, b in found:
+            pairs = met(a.toDF("a", "interface_name"), b.toDF("b", "interface_name"), "interface_name").where("a <> b")
+            rows.append(pairs.select(F.col(this).alias("def_uid"), F.lit(relation).alias("relation"), F.col(other).alias("other")))
     return reduce(DataFrame.unionByName, rows)
 
 

@@ -119,6 +119,30 @@ def test_innermost_of_long_scopes(spark, preferred):
     assert sorted(map(tuple, rows)) == want and n < 100
 
 
+def test_hierarchy_files_are_small(spark, tmp_path):
+    named, n = 20_000, 100
+    own = spark.range(named).select(F.format_string("d%05d", "id").alias("def_uid"), F.expr("left('x' || id, 1)").alias("name"))
+    impls = own.where(f"def_uid < 'd{n:05}'").toDF("implementor_def_uid", "interface_name")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins.hierarchy(impls, own, own).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("relation").agg(F.count("*"), F.count_distinct("def_uid", "other"))
+    pairs = n * (named - 1)
+    assert sorted(map(tuple, got.collect())) == [("interface", n, n), ("sub", pairs, pairs), ("super", pairs, pairs)]
+    assert sum(x.stat().st_size for x in (tmp_path / "out").glob("*.parquet")) < 0.5 * 2 * pairs
+
+
+def test_products_of_many_lists(spark, monkeypatch):
+    for k, v in (("RUN", 4), ("COPIES", 3), ("PIECES", 5)):
+        monkeypatch.setattr(joins, k, v)
+    left = [(k, f"a{i}") for k, n in (("x", 30), ("y", 1), ("z", 4), ("w", 9), (None, 5)) for i in range(n)]
+    right = [(k, f"b{i}") for k, n in (("x", 7), ("y", 50), ("z", 4), ("v", 9), (None, 5)) for i in range(n)]
+    got = joins.products(spark.createDataFrame(left, "k string, a string"), spark.createDataFrame(right, "k string, b string"), "k")
+    assert sorted(map(tuple, got.collect())) == sorted((a, b) for k, a in left for q, b in right if k == q and k)
+
+
 def test_cross_reference_patterns_stand_once(spark):
     plan = spark.range(1).select(text.cross_references(F.lit("a")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("regexp_extract_all") <= len(text.CROSS_REFERENCES)
